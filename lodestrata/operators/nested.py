@@ -186,10 +186,10 @@ def inside(children: DataFrame, parents: DataFrame, doc: str, how: str = "inner"
     """
     p = parents.withColumnsRenamed({c: f"_p_{c}" for c in (doc, "_doc_hash", "pre", "post")})
     cond = (
-        children[doc].eqNullSafe(p[f"_p_{doc}"])
-        & (children["_doc_hash"] == p["_p__doc_hash"])
-        & (children["parent_pre"] == p["_p_pre"])
-        & (p["_p_pre"] < children["pre"])
-        & (children["post"] < p["_p_post"])
+        F.col(doc).eqNullSafe(F.col(f"_p_{doc}"))
+        & (F.col("_doc_hash") == F.col("_p__doc_hash"))
+        & (F.col("parent_pre") == F.col("_p_pre"))
+        & (F.col("_p_pre") < F.col("pre"))
+        & (F.col("post") < F.col("_p_post"))
     )
     return children.join(p, cond, how).drop(*[f"_p_{c}" for c in (doc, "_doc_hash", "pre", "post")])

@@ -37,20 +37,12 @@ def range_chunks(df: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     return checkpointed(df.repartitionByRange(*cols).withColumn(CHUNK, F.spark_partition_id()))
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all ``keys``."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join with a carry table (at most one row per chunk) on the null-safe keys and the chunk."""
     renamed = carry.select(*[F.col(k).alias(f"_r_{k}") for k in [*keys, CHUNK]], *[c for c in carry.columns if c not in {*keys, CHUNK}])
     cond = F.lit(True)
     for k in [*keys, CHUNK]:
-        cond = cond & df[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return df.join(F.broadcast(renamed), cond, "left").drop(*[f"_r_{k}" for k in [*keys, CHUNK]])
 
 
@@ -74,8 +66,3 @@ def row_numbers(chunked: DataFrame, keys: Sequence[str], order: Sequence[Column]
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = chunked.withColumn(name, F.sum(weight).over(w))
     return join_carry(local, carry, keys).withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
-
-
-def session_parallelism(spark: SparkSession) -> int:
-    """Shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,10 +20,11 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _on(keys: Sequence[str]) -> Column:
+    """Null-safe equality of the keys with the renamed ones; by name, as both sides may come from one table."""
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"_r_{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return cond
 
 
@@ -36,10 +37,10 @@ def lookup(rows: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "lef
     renamed = dim.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     drop = [f"_r_{k}" for k in keys]
     if fits(dim, most):
-        return rows.join(F.broadcast(renamed), _on(rows, renamed, keys), how).drop(*drop)
+        return rows.join(F.broadcast(renamed), _on(keys), how).drop(*drop)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt) if salt is not None else F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     renamed = renamed.withColumn("_r_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(renamed, _on(salted, renamed, keys) & (salted["_salt"] == renamed["_r_salt"]), how).drop(*drop, "_salt", "_r_salt")
+    return salted.join(renamed, _on(keys) & (F.col("_salt") == F.col("_r_salt")), how).drop(*drop, "_salt", "_r_salt")
 
 
 def counted_join(rows: DataFrame, dim: DataFrame, keys: Sequence[str], count: str, salt: Column, how: str = "inner", share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> DataFrame:
@@ -52,8 +53,8 @@ def counted_join(rows: DataFrame, dim: DataFrame, keys: Sequence[str], count: st
     most = max(least, int(total * share))
     pieces = F.ceil(F.col(count) / F.lit(most)).cast("int")
     heavy = dim.filter(F.col(count) > most).select(*[F.col(k).alias(f"_r_{k}") for k in keys], pieces.alias("_pieces"))
-    salted = rows.join(F.broadcast(heavy), _on(rows, heavy, keys), "left").drop(*[f"_r_{k}" for k in keys])
+    salted = rows.join(F.broadcast(heavy), _on(keys), "left").drop(*[f"_r_{k}" for k in keys])
     salted = salted.withColumn("_salt", F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(salt), F.col("_pieces")).cast("int")).otherwise(0)).drop("_pieces")
     wide = dim.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(count)
     wide = wide.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return salted.join(wide, _on(salted, wide, keys) & (salted["_salt"] == wide["_r_salt"]), how).drop(*[f"_r_{k}" for k in keys], "_salt", "_r_salt")
+    return salted.join(wide, _on(keys) & (F.col("_salt") == F.col("_r_salt")), how).drop(*[f"_r_{k}" for k in keys], "_salt", "_r_salt")
