@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed
-from ..plans.skew import counted_join
+from ..plans.skew import HEAVY_ROWS, HEAVY_SHARE
 
 #: Sequence number of base rows: below any of the log.
 BASE = -(1 << 62)
@@ -40,7 +40,7 @@ def log_presence(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFr
     ).withColumn("_live", F.coalesce("_last.live", F.lit(False))).drop("_last")
 
 
-def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
+def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Live records (keys, last_seq, document, embedding, metadata) after ``log`` is applied to ``base``.
 
     ``log``: keys, ``_seq`` (long), ``_op``, ``document``, ``embedding``, ``metadata`` (JSON object; null values delete the
@@ -54,10 +54,25 @@ def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     log = log.filter(F.col("_op").isin("add", "update", "upsert", "delete") & F.col("_seq").isNotNull() & F.col(keys[-1]).isNotNull())
     base = base.select(*keys, "document", "embedding", "metadata").filter(F.col(keys[-1]).isNotNull())
 
-    alive = checkpointed(log_presence(log, base, keys).filter("_live").select(*keys, "_dead", "_n"))
+    # One struct as key: in it a null equals a null, so a plain equi-join on it hashes rows just as the aggregates need.
+    log, base = (x.select(F.struct(*keys).alias("_key"), *[c for c in x.columns if c not in keys]) for x in (log, base))
+    alive = checkpointed(log_presence(log, base, ["_key"]).filter("_live").select("_key", "_dead", "_n"))
     rows = log.filter("_op <> 'delete'").unionByName(base.withColumns({"_seq": F.lit(BASE), "_op": F.lit("base")}))
-    rows = counted_join(rows, alive, keys, "_n", F.col("_seq")).filter(F.col("_dead").isNull() | (F.col("_seq") > F.col("_dead")))
-
+    most = max(heavy_rows, int((alive.agg(F.sum("_n")).first()[0] or 0) * HEAVY_SHARE))
+    heavy = alive.filter(F.col("_n") > most)  # at most 1 / HEAVY_SHARE keys
+    above = F.col("_dead").isNull() | (F.col("_seq") > F.col("_dead"))
+    if heavy.isEmpty():
+        done = _states(rows.join(alive.drop("_n"), "_key").filter(above))
+    else:
+        listed = F.broadcast(heavy.drop("_n"))
+        light = rows.join(listed.select("_key"), "_key", "left_anti").join(alive.filter(F.col("_n") <= most).drop("_n"), "_key")
+        done = _states(light.filter(above)).unionByName(_states(rows.join(listed, "_key").filter(above)))
+    return done.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in done.columns if c != "_key"])
+
+
+def _states(rows: DataFrame) -> DataFrame:
+    """Records of the rows above each key's tombstone (step 2). Rows that a join has hashed by key are not shuffled again;
+    those of heavy keys come unshuffled and are combined per partition first."""
     no_text, no_vec = F.lit(None).cast("string"), F.lit(None).cast("array<float>")
 
     def item(kind: str, text: Column = no_text, vec: Column = no_vec, name: Column = F.lit("")) -> Column:
@@ -72,15 +87,15 @@ def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     cell = F.struct("_seq", "_i.text", "_i.vec")
     fields = (
-        rows.select(*keys, "_seq", "_op", F.explode(items).alias("_i"))
-        .groupBy(*keys, "_i.kind", "_i.name")
+        rows.select("_key", "_seq", "_op", F.explode(items).alias("_i"))
+        .groupBy("_key", "_i.kind", "_i.name")
         .agg(
             F.min(F.when(F.col("_op").isin("base", "add", "upsert"), cell)).alias("_start"),
             F.max(F.when(F.col("_op") == "upsert", cell)).alias("_upsert"),
             F.max(F.when(F.col("_op") == "update", cell)).alias("_update"),
         )
     )
-    records = fields.groupBy(*keys).agg(
+    records = fields.groupBy("_key").agg(
         F.max(F.when(F.col("kind") == _SEQ, F.col("_start._seq"))).alias("_g"),
         F.collect_list(F.struct("kind", "name", "_start", "_upsert", "_update")).alias("_fields"),
     )
@@ -94,7 +109,7 @@ def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     one = lambda kind: F.get(F.filter("_fields", lambda f: f["kind"] == kind), F.lit(0))["v"]
     kept = F.filter("_fields", lambda f: (f["kind"] == _META) & f["v"]["text"].isNotNull())
     return records.select(
-        *keys,
+        "_key",
         F.nullif(one(_SEQ)["_seq"], F.lit(BASE)).alias("last_seq"),
         one(_DOC)["text"].alias("document"),
         one(_EMB)["vec"].alias("embedding"),
