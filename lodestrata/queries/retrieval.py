@@ -16,6 +16,7 @@ from ..operators.rank import Knn, Val, rank_rows, rrf
 from ..operators.sparse import bm25_weights, idf, rescale, sparse_knn
 from ..operators.where import FlatBinding, K, Key, MapBinding, compile_where, parse_where, parse_where_document
 from ..plans import search as P
+from ..plans.chunks import checkpointed
 from ..sources.tables import table
 from ..streaming.fold import fold_stream
 
@@ -384,7 +385,7 @@ def sparse_knn_overlap(spark, sf):
 @query(_SPARSE.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
 def sparse_knn_idf(spark, sf):
     size = table(spark, sf, "documents").count()
-    w = bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False)
+    w = checkpointed(bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False))  # the inverted index
     return _found(sparse_knn(w, rescale(_sparse_queries(spark), idf(w, size), size), 15))
 
 
@@ -456,13 +457,13 @@ def partition_log(spark, sf):
     return oplog.partition_log(_events(spark, sf), 8).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _changes(spark: SparkSession, sf: str, split: int = 400) -> DataFrame:
-    """Changes that the events after the first ``split`` make to the state after these."""
+def _changes(spark: SparkSession, sf: str, split: int = 400) -> tuple[DataFrame, DataFrame]:
+    """Changes of two compactions: of the first ``split`` events, and of the others to the state after these."""
     log, none = _events(spark, sf), _no_segment(spark)
-    first = oplog.materialize(oplog.fetch_log(log, upto=split), none)
+    first = checkpointed(oplog.materialize(oplog.fetch_log(log, upto=split), none))
     text = F.to_json(F.transform_values("metadata", lambda _, v: F.parse_json(v)))
     segment = first.select("id", "offset_id", "document", "embedding", text.alias("metadata"))
-    return incremental.changes(oplog.materialize(oplog.fetch_log(log, split), segment), segment)
+    return incremental.changes(first, none), incremental.changes(oplog.materialize(oplog.fetch_log(log, split), segment), segment)
 
 
 _LIVE = f"WITH {_LAST.format(where='')}, live AS (SELECT * FROM last WHERE k = 1 AND event_type <> 'error')"
@@ -472,16 +473,14 @@ _LIVE = f"WITH {_LAST.format(where='')}, live AS (SELECT * FROM last WHERE k = 1
     UNION ALL SELECT 'summary', 'str', 'total_count', count(*) FROM live""")
 def stats_counts(spark, sf):
     """Statistics of the live records, in two incremental steps."""
-    log, none = _events(spark, sf), _no_segment(spark)
-    before = incremental.statistics(incremental.changes(oplog.materialize(oplog.fetch_log(log, upto=400), none), none))
-    return incremental.statistics(_changes(spark, sf), before).filter("key <> 'value'").select("key", "type", "value", "count")
+    first, second = _changes(spark, sf)
+    return incremental.statistics(second, incremental.statistics(first)).filter("key <> 'value'").select("key", "type", "value", "count")
 
 
 @query(f"{_LIVE} SELECT count(*) AS total_count FROM live")
 def record_counter(spark, sf):
-    log, none = _events(spark, sf), _no_segment(spark)
-    before = incremental.record_counter(incremental.changes(oplog.materialize(oplog.fetch_log(log, upto=400), none), none))
-    return incremental.record_counter(_changes(spark, sf), before)
+    first, second = _changes(spark, sf)
+    return incremental.record_counter(second, incremental.record_counter(first))
 
 
 @query("SELECT user_id || '::v' || v AS id, user_id::VARCHAR AS original_id, v AS version, event_type = 'error' AS is_delete, event_type AS document FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS v FROM events)")
@@ -493,7 +492,7 @@ def revision_history(spark, sf):
     {_LAST.format(where=' WHERE event_id >= 400')}
     SELECT n.user_id::VARCHAR AS id, o.user_id IS NULL AS is_new, (o.event_type <> n.event_type AND o.user_id IS NOT NULL) AS kind_changed FROM last n LEFT JOIN old o ON n.user_id = o.user_id WHERE n.k = 1 AND n.event_type <> 'error'""")
 def metadata_delta(spark, sf):
-    d = _changes(spark, sf).filter("mat_op <> 'delete_existing'").withColumn("d", M.delta(F.col("old"), F.col("new")))
+    d = _changes(spark, sf)[1].filter("mat_op <> 'delete_existing'").withColumn("d", M.delta(F.col("old"), F.col("new")))
     return d.select("id", (F.col("mat_op") == "add_new").alias("is_new"), F.map_contains_key("d.updates", "kind").alias("kind_changed"))
 
 
