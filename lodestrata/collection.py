@@ -15,6 +15,8 @@ from .functions import embedding as E
 from .functions import incremental
 from .functions import metadata as M
 from .operators import oplog
+from .operators.rank import leaves
+from .operators.where import IndexSchema, combined
 from .plans import search as P
 from .plans.chunks import range_chunks, row_numbers
 from .sources.catalog import Catalog, CatalogError, Conflict, Version
@@ -44,6 +46,17 @@ class Collection:
     def space(self) -> str:
         return self.version.config.get("space", "l2")
 
+    @property
+    def schema(self) -> IndexSchema:
+        """What may be filtered and searched: ``config["schema"]`` has disabled (key -> value types) and full_text."""
+        s = self.version.config.get("schema", {})
+        return IndexSchema({k: frozenset(v) for k, v in s.get("disabled", {}).items()}, s.get("full_text", True))
+
+    @property
+    def sparse(self) -> dict[str, Any]:
+        """``config["sparse"]``: the metadata key that gets a BM25 vector of each document, and whether queries use idf."""
+        return self.version.config.get("sparse", {})
+
     def refresh(self) -> Collection:
         """Read the newest version from now on."""
         self.version = self.catalog.at_version(self.version.id)
@@ -69,6 +82,9 @@ class Collection:
         n = len(ids)
         docs, metas = list(documents or [None] * n), list(metadatas or [None] * n)
         vecs = [None if e is None else [float(x) for x in e] for e in (embeddings or [None] * n)]
+        if self.sparse:
+            bm25 = E.Bm25()
+            metas = [m if d is None else {**(m or {}), self.sparse["key"]: bm25(d)} for m, d in zip(metas, docs, strict=True)]
         if self.embedder:
             todo = [i for i in range(n) if vecs[i] is None and docs[i] is not None]
             for i, e in zip(todo, self.embedder.encode([docs[i] for i in todo]) if todo else [], strict=True):
@@ -129,6 +145,7 @@ class Collection:
 
     def count(self, where: Any = None, where_document: Any = None, level: str = oplog.INDEX_AND_WAL) -> int:
         """Number of live records (that satisfy a filter)."""
+        self.schema.check(combined(where, where_document))
         if where is None and where_document is None:
             v = self.version
             return oplog.count_records(oplog.read_level(self.catalog.read_log(v), level, v.log_position), self.catalog.read_segment(v)).first()["n"]
@@ -136,6 +153,7 @@ class Collection:
 
     def get(self, ids: Any = None, where: Any = None, where_document: Any = None, limit: int | None = None, offset: int = 0, include: Sequence[str] = ("documents", "metadatas"), level: str = oplog.INDEX_AND_WAL) -> DataFrame:
         """Records in natural order."""
+        self.schema.check(combined(where, where_document))
         return P.run_get(self.records(level), where, where_document, ids, P.Limit(offset, limit), include)
 
     def peek(self, n: int = 10) -> DataFrame:
@@ -146,6 +164,7 @@ class Collection:
         """Nearest records of each query vector or text."""
         if (query_embeddings is None) == (query_texts is None):
             raise ValueError("give either query embeddings or query texts")
+        self.schema.check(combined(where, where_document))
         if query_texts is not None:
             if self.embedder is None:
                 raise ValueError("query texts need an embedding function")
@@ -159,7 +178,14 @@ class Collection:
         one = not isinstance(plans, (list, tuple))
         records = self.records(level)
         embed = lambda text, key: self.embedder.encode([text])[0] if key == "#embedding" and self.embedder else E.Bm25()(text)
-        out = [P.run_search(records, p if isinstance(p, P.Search) else P.Search.from_dict(p), self.space, embed) for p in ([plans] if one else plans)]
+        parsed = [p if isinstance(p, P.Search) else P.Search.from_dict(p) for p in ([plans] if one else plans)]
+        for p in parsed:
+            self.schema.check(p.filter)
+            for x in leaves(p.rank_expr) if p.rank_expr else ():
+                if x.key not in (P.W.EMBEDDING, self.sparse.get("key")) and isinstance(x.query, str):
+                    raise ValueError(f"a text query needs a vector key, not {x.key!r}")
+        idf_keys = [self.sparse["key"]] if self.sparse.get("idf") else []
+        out = [P.run_search(records, p, self.space, embed, idf_keys) for p in parsed]
         return out[0] if one else out
 
     # maintenance

@@ -101,7 +101,7 @@ def encode_map(metadata: Mapping[str, Any] | None) -> dict[str, tuple | None] |
 
 
 def from_json(text: Column) -> Column:
-    """META map of a column of JSON objects with scalar or homogeneous list values; null members are kept as null."""
+    """META map of a column of JSON objects with scalar, homogeneous list or sparse vector values; null members are kept as null."""
     v = F.from_json(text, "map<string,variant>")
 
     def value(x: Column) -> Column:
@@ -111,9 +111,11 @@ def from_json(text: Column) -> Column:
         is_num = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
         t = F.when(kind == "BOOLEAN", BOOL).when(is_int, INT).when(is_num, FLOAT).when(kind == "STRING", STR)
         t = t.when(kind == "ARRAY<BOOLEAN>", BOOLS).when(kind.isin("ARRAY<BIGINT>", "ARRAY<INT>"), INTS).when(kind.startswith("ARRAY<DECIMAL") | kind.isin("ARRAY<DOUBLE>"), FLOATS).when(kind == "ARRAY<STRING>", STRS)
-        t = t.cast("tinyint")
+        t = t.when(kind.startswith("OBJECT") & (F.try_variant_get(x, f"$['{TAG}']", "string") == SPARSE_TAG), SPARSE_T).cast("tinyint")
         fields = [("b", "boolean", BOOL), ("i", "bigint", INT), ("f", "double", FLOAT), ("s", "string", STR), ("ba", "array<boolean>", BOOLS), ("ia", "array<bigint>", INTS), ("fa", "array<double>", FLOATS), ("sa", "array<string>", STRS)]
-        row = F.struct(t.alias("t"), *[F.when(t == k, num(c)).alias(n) for n, c, k in fields], F.lit(None).cast(SPARSE).alias("sv"))
+        part = lambda n, c: F.try_variant_get(x, f"$.{n}", c).alias(n)
+        sparse = F.struct(part("indices", "array<bigint>"), part("values", "array<float>"), part("tokens", "array<string>"))
+        row = F.struct(t.alias("t"), *[F.when(t == k, num(c)).alias(n) for n, c, k in fields], F.when(t == SPARSE_T, sparse).alias("sv"))
         return F.when(t.isNotNull(), row)
 
     return F.transform_values(v, lambda _, x: value(x)).cast(META)

@@ -357,6 +357,14 @@ class IndexSchema:
             if bad := kinds & (self.disabled.get(x.key, frozenset()) | self.disabled.get("*", frozenset())):
                 raise WhereError(f"no index for {x.key!r} with values of type {', '.join(sorted(bad))}")
 
+    def without(self, key: str, *types: str) -> IndexSchema:
+        """The schema with these value types of ``key`` (``*``: of all keys) switched off."""
+        return IndexSchema({**self.disabled, key: self.disabled.get(key, frozenset()) | set(types)}, self.full_text, self.vector_keys)
+
+    def having(self, key: str, *types: str) -> IndexSchema:
+        """The schema with these value types of ``key`` switched on again."""
+        return IndexSchema({**self.disabled, key: self.disabled.get(key, frozenset()) - set(types)}, self.full_text, self.vector_keys)
+
     def check_key(self, key: str) -> None:
         """Raise WhereError if vectors under ``key`` are not indexed."""
         if key not in self.vector_keys:

@@ -17,7 +17,7 @@ from ..functions import metadata as M
 from ..operators import where as W
 from ..operators.knn import knn
 from ..operators.rank import Knn, Rank, parse_rank, rank_rows
-from ..operators.sparse import sparse_knn
+from ..operators.sparse import idf, rescale, sparse_knn
 
 #: Metadata key under which a record's URI travels.
 URI_KEY = "#uri"
@@ -249,11 +249,19 @@ def regroup(scored: DataFrame, g: GroupBy) -> DataFrame:
     return wide.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= g.aggregate.k).drop("_n", *[f"_m_{n}" for n in names])
 
 
-def run_search(records: DataFrame, plan: Search, space: str = "l2", embed: Callable[[str, str], Any] | None = None) -> DataFrame:
+def _postings(rows: DataFrame, key: str) -> DataFrame:
+    """(id, dim, weight) of the sparse vectors under a metadata key."""
+    v = F.try_element_at("metadata", F.lit(key))["sv"]
+    zipped = F.explode(F.arrays_zip(v["indices"].alias("dim"), v["values"].alias("weight"))).alias("_z")
+    return rows.select(F.col("offset_id").alias("id"), zipped).select("id", F.col("_z.dim").alias("dim"), F.col("_z.weight").cast("double").alias("weight"))
+
+
+def run_search(records: DataFrame, plan: Search, space: str = "l2", embed: Callable[[str, str], Any] | None = None, idf_keys: Sequence[str] = ()) -> DataFrame:
     """(id, document?, embedding?, metadata?, score?) by (score, offset id), ``rank`` from 1 telling the order.
 
     The filter applies to every leaf. Without a rank expression rows come in natural order and their score is their position.
-    ``embed`` turns a text query of a leaf into a vector.
+    ``embed`` turns a text query of a leaf into a vector. Queries of the sparse keys in ``idf_keys`` are first rescaled by the
+    rarity of their dimensions in the whole collection, whatever the filter.
     """
     if plan.group is not None and plan.rank_expr is None:
         raise PlanError("a group-by needs a rank expression")
@@ -268,10 +276,11 @@ def run_search(records: DataFrame, plan: Search, space: str = "l2", embed: Calla
             one = spark.createDataFrame([(0, [float(v) for v in q])], "query_id long, query array<double>")
             return knn(hit, one, x.limit, space, id="offset_id").select("id", "distance", "rank")
         s = q if isinstance(q, M.SparseVector) else M.SparseVector(tuple(q["indices"]), tuple(q["values"]))
-        v = F.try_element_at("metadata", F.lit(x.key))["sv"]
-        postings = hit.select(F.col("offset_id").alias("id"), F.explode(F.arrays_zip(v["indices"].alias("dim"), v["values"].alias("weight"))).alias("_z")).select("id", F.col("_z.dim").alias("dim"), F.col("_z.weight").cast("double").alias("weight"))
         asked = spark.createDataFrame([(0, i, float(w)) for i, w in zip(s.indices, s.values, strict=True)], "query_id long, dim long, weight double")
-        return sparse_knn(postings, asked, x.limit).select("id", "distance", "rank")
+        if x.key in idf_keys:
+            size = records.count()
+            asked = rescale(asked, idf(_postings(records, x.key).filter(F.col("dim").isin(*s.indices)), size), size)
+        return sparse_knn(_postings(hit, x.key), asked, x.limit).select("id", "distance", "rank")
 
     if plan.rank_expr is None:
         # Only the page is numbered, so no window over all records is needed.

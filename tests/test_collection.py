@@ -173,3 +173,34 @@ def test_source_versions_map_to_positions_and_repeat_safely(spark):
     assert sorted((r["version"], r["document"], r["source_version"]) for r in got.collect()) == [(1, "1", 5), (2, "2", 6), (3, None, None), (4, "new", 1), (5, "new2", 2)]
     more = incremental.revision_history(df.filter("log_offset >= 6"), got, "v")
     assert more.count() == 5
+
+
+def test_sparse_vectors_and_schema_of_a_collection(catalog):
+    c = make(catalog, sparse={"key": "bm25", "idf": True}, embedding_function={"name": "hashing"}, schema={"disabled": {"secret": ["str"]}, "full_text": False})
+    c.add(["a", "b", "c"], documents=["shard filter shard", "filter only", "nothing here"])
+    got = c.search(Search().rank(Knn("shards filters", key="bm25", limit=5)).select(K.SCORE)).orderBy("rank").collect()
+    assert [r["id"] for r in got] == ["a", "b"]
+    for bad in (lambda: c.get(where={"secret": "x"}), lambda: c.count(where_document={"$contains": "x"}), lambda: c.query(query_texts=["x"], where={"secret": "x"}), lambda: c.search(Search().where({"secret": "x"})), lambda: c.search(Search().rank(Knn("x", key="other")))):
+        with pytest.raises(ValueError):
+            bad()
+    s = c.schema.without("*", "bool").having("secret", "str")
+    s.check(K("secret") == "x")
+    with pytest.raises(ValueError):
+        s.check(K("any") == True)  # noqa: E712
+
+
+def test_results_loader_and_schedule(spark, catalog, tmp_path):
+    from lodestrata.plans.results import due, to_frames
+    from lodestrata.sources.loader import load_uris
+
+    c = make(catalog)
+    c.add(["a", "b"], [[1.0], [2.0]], [{"n": 1}, None])
+    two = to_frames(c.query([[1.0], [2.0]], n_results=2))
+    assert [list(f["id"]) for f in two] == [["a", "b"], ["b", "a"]] and two[0]["metadata"][0] == {"n": 1}
+    assert len(to_frames(c.get())) == 1
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "x.bin").write_bytes(b"\x00\x01")
+    recs = spark.createDataFrame([(1, "x.bin"), (2, None), (3, "y.bin")], "id int, uri string")
+    assert {r["id"]: r["content"] and bytes(r["content"]) for r in load_uris(spark, recs, str(tmp_path / "img")).collect()} == {1: b"\x00\x01", 2: None, 3: None}
+    waiting = spark.createDataFrame([("a", 50, 3), ("b", 5, 1), ("c", 10, 2), ("d", 99, 9)], "collection string, waiting int, oldest int")
+    assert [r[0] for r in due(waiting, 2).collect()] == ["c", "a"] and [r[0] for r in due(waiting, 9, skip=["c"]).collect()] == ["a", "d"]
