@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.layout import spread
+
 
 #: Buckets of the bigram and of the character counts: they bound the model, whatever the corpus.
 PAIR_BUCKETS, CHAR_BUCKETS = 1 << 20, 1 << 17
@@ -242,7 +244,7 @@ def _counts(df: DataFrame, text: str, shared=None) -> Model:
         at = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], ["bucket", "n"])
 
-    rows = df.select(text).filter(F.col(text).isNotNull()).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = spread(df.select(text).filter(F.col(text).isNotNull())).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = rows.toArrow()  # at most PAIR_BUCKETS + CHAR_BUCKETS rows
     both = np.zeros(PAIR_BUCKETS + CHAR_BUCKETS, np.float64)
     both[got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -265,7 +267,7 @@ def repairs(df: DataFrame, key: str, text: str, model: Model | None = None) -> D
     """
     model = model or fit(df, text)
     shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.chars))
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]"))
+    slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]")))
     kind = slim.schema["k"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pair", pa.string()), ("original", pa.string())])
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed
+from ..plans.layout import spread
 from .tokens import PATTERN, TOKENIZERS
 
 #: Tokens of a block, tokens of a shard and most shards of a source (this bounds the tables of quotas).
@@ -74,7 +75,7 @@ def token_counts(df: DataFrame, text: str, out: str = "tokens", vocabulary: str
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, out])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return spread(df.select(*keep, text)).mapInArrow(run, schema)
 
 
 def _source(c: str):

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.layout import spread
+
 #: Characters after which a cut is natural (fixed values).
 BOUNDARY = " \t\n\r.!?。！？"
 LIMIT, OVERLAP = 1200, 120
@@ -127,7 +129,7 @@ def split_corpus(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
     stretch of more than ``limit`` characters without a boundary character. Null, empty and short texts have no rows;
     repeated rows stay; further columns are not read. Texts of any length are split whole, in time linear in their length.
     """
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > limit)
+    slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > limit))
     kind = slim.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.layout import spread
+
 #: Where the vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
 #: Word boundaries of the byte-level vocabularies (fixed value of the public format).
@@ -128,7 +130,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
     """
     with open(f"{folder}/{vocabulary}.json", encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     kind = slim.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
