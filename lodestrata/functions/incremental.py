@@ -41,8 +41,7 @@ def registered(name: str) -> Callable[..., DataFrame]:
 def changes(materialized: DataFrame, segment: DataFrame) -> DataFrame:
     """(id, mat_op, old, new) of the touched records; ``old`` and ``new`` are META maps."""
     before = segment.select("id", M.from_json(F.col("metadata")).alias("old"))
-    text = F.to_json(F.transform_values("metadata", lambda _, v: F.parse_json(v)))
-    after = materialized.select("id", "mat_op", M.from_json(text).alias("new"))
+    after = materialized.select("id", "mat_op", M.from_json_values(F.col("metadata")).alias("new"))
     return after.join(before, "id", "left").select("id", "mat_op", "old", F.when(F.col("mat_op") != "delete_existing", F.col("new")).alias("new"))
 
 

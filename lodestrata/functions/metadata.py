@@ -100,25 +100,34 @@ def encode_map(metadata: Mapping[str, Any] | None) -> dict[str, tuple | None] |
     return {k: encode(v) for k, v in metadata.items()}
 
 
+def of_variant(x: Column) -> Column:
+    """META value of a variant; null for null and for what metadata cannot hold."""
+    kind = F.schema_of_variant(x)
+    num = lambda t: F.try_variant_get(x, "$", t)
+    is_int = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT")
+    is_num = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+    t = F.when(kind == "BOOLEAN", BOOL).when(is_int, INT).when(is_num, FLOAT).when(kind == "STRING", STR)
+    t = t.when(kind == "ARRAY<BOOLEAN>", BOOLS).when(kind.isin("ARRAY<BIGINT>", "ARRAY<INT>"), INTS).when(kind.startswith("ARRAY<DECIMAL") | kind.isin("ARRAY<DOUBLE>"), FLOATS).when(kind == "ARRAY<STRING>", STRS)
+    t = t.when(kind.startswith("OBJECT") & (F.try_variant_get(x, f"$['{TAG}']", "string") == SPARSE_TAG), SPARSE_T).cast("tinyint")
+    fields = [("b", "boolean", BOOL), ("i", "bigint", INT), ("f", "double", FLOAT), ("s", "string", STR), ("ba", "array<boolean>", BOOLS), ("ia", "array<bigint>", INTS), ("fa", "array<double>", FLOATS), ("sa", "array<string>", STRS)]
+    part = lambda n, c: F.try_variant_get(x, f"$.{n}", c).alias(n)
+    sparse = F.struct(part("indices", "array<bigint>"), part("values", "array<float>"), part("tokens", "array<string>"))
+
+    def row(k: Column) -> Column:
+        return F.when(k.isNotNull(), F.struct(k.alias("t"), *[F.when(k == n, num(c)).alias(f) for f, c, n in fields], F.when(k == SPARSE_T, sparse).alias("sv")))
+
+    # The type is worked out once: as the only element of an array it is a variable of the lambda.
+    return F.get(F.transform(F.array(t), row), F.lit(0))
+
+
 def from_json(text: Column) -> Column:
     """META map of a column of JSON objects with scalar, homogeneous list or sparse vector values; null members are kept as null."""
-    v = F.from_json(text, "map<string,variant>")
-
-    def value(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
-        num = lambda t: F.try_variant_get(x, "$", t)
-        is_int = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT")
-        is_num = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-        t = F.when(kind == "BOOLEAN", BOOL).when(is_int, INT).when(is_num, FLOAT).when(kind == "STRING", STR)
-        t = t.when(kind == "ARRAY<BOOLEAN>", BOOLS).when(kind.isin("ARRAY<BIGINT>", "ARRAY<INT>"), INTS).when(kind.startswith("ARRAY<DECIMAL") | kind.isin("ARRAY<DOUBLE>"), FLOATS).when(kind == "ARRAY<STRING>", STRS)
-        t = t.when(kind.startswith("OBJECT") & (F.try_variant_get(x, f"$['{TAG}']", "string") == SPARSE_TAG), SPARSE_T).cast("tinyint")
-        fields = [("b", "boolean", BOOL), ("i", "bigint", INT), ("f", "double", FLOAT), ("s", "string", STR), ("ba", "array<boolean>", BOOLS), ("ia", "array<bigint>", INTS), ("fa", "array<double>", FLOATS), ("sa", "array<string>", STRS)]
-        part = lambda n, c: F.try_variant_get(x, f"$.{n}", c).alias(n)
-        sparse = F.struct(part("indices", "array<bigint>"), part("values", "array<float>"), part("tokens", "array<string>"))
-        row = F.struct(t.alias("t"), *[F.when(t == k, num(c)).alias(n) for n, c, k in fields], F.when(t == SPARSE_T, sparse).alias("sv"))
-        return F.when(t.isNotNull(), row)
-
-    return F.transform_values(v, lambda _, x: value(x)).cast(META)
+    return F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, x: of_variant(x)).cast(META)
+
+
+def from_json_values(m: Column) -> Column:
+    """META map of a map of JSON texts."""
+    return F.transform_values(m, lambda _, v: of_variant(F.parse_json(v))).cast(META)
 
 
 def merged(old: Column, new: Column) -> Column:

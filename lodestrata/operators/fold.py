@@ -58,10 +58,11 @@ def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str], heavy_rows: i
     log, base = (x.select(F.struct(*keys).alias("_key"), *[c for c in x.columns if c not in keys]) for x in (log, base))
     alive = checkpointed(log_presence(log, base, ["_key"]).filter("_live").select("_key", "_dead", "_n"))
     rows = log.filter("_op <> 'delete'").unionByName(base.withColumns({"_seq": F.lit(BASE), "_op": F.lit("base")}))
-    most = max(heavy_rows, int((alive.agg(F.sum("_n")).first()[0] or 0) * HEAVY_SHARE))
+    total, largest = alive.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    most = max(heavy_rows, int(total * HEAVY_SHARE))
     heavy = alive.filter(F.col("_n") > most)  # at most 1 / HEAVY_SHARE keys
     above = F.col("_dead").isNull() | (F.col("_seq") > F.col("_dead"))
-    if heavy.isEmpty():
+    if largest <= most:
         done = _states(rows.join(alive.drop("_n"), "_key").filter(above))
     else:
         listed = F.broadcast(heavy.drop("_n"))

@@ -87,10 +87,8 @@ def current_records(log: DataFrame, segment: DataFrame) -> DataFrame:
     """All live records after the log: id, offset_id, document, embedding, metadata (META map)."""
     seg = segment.select("id", "offset_id", "document", "embedding", "metadata")
     done = materialize(log, seg)
-    as_meta = lambda m: F.coalesce(M.from_json(m), F.create_map().cast(M.META))
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ","), F.lit("}"))
-    kept = seg.join(done.select("id"), "id", "left_anti").withColumn("metadata", as_meta(F.col("metadata")))
-    new = done.filter("mat_op <> 'delete_existing'").withColumn("metadata", as_meta(text))
+    kept = seg.join(done.select("id"), "id", "left_anti").withColumn("metadata", F.coalesce(M.from_json(F.col("metadata")), F.create_map().cast(M.META)))
+    new = done.filter("mat_op <> 'delete_existing'").withColumn("metadata", M.from_json_values(F.col("metadata")))
     return kept.unionByName(new.select("id", "offset_id", "document", "embedding", "metadata"))
 
 
