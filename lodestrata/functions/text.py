@@ -141,7 +141,7 @@ def murmur3(token: str, seed: int = 0) -> int:
 
 def raw_tokens(text: Column, stop_words: bool = True) -> Column:
     """Lower-case tokens of a text without punctuation, stop words and tokens above 40 characters; JVM-side, no stemming."""
-    words = F.split(F.trim(F.lower(F.regexp_replace(text, r"(?U)[^\w\s]+", " "))), r"(?U)\s+")
+    words = F.transform(F.split(text, r"[^\p{L}\p{N}_]+"), F.lower)
     keep = lambda w: (w != "") & (F.length(w) <= MOST_CHARS) & (~w.isin(*STOP_WORDS) if stop_words else F.lit(True))
     return F.filter(words, keep)
 

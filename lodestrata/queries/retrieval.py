@@ -268,9 +268,9 @@ def rank_max_min(spark, sf):
     return _ranked(spark, sf, _A.max(Knn(7, limit=60, default=10.0)) + _A.min(30))
 
 
-@query(f"{_TWO} SELECT id, round(abs(ln(CASE WHEN d > 0 THEN d ELSE 1 END) - exp(-d / 100)), 6) AS score FROM a WHERE d > 0")
+@query(f"{_TWO} SELECT id, CASE WHEN d = 0 THEN 'Infinity'::DOUBLE ELSE round(abs(ln(CASE WHEN d > 0 THEN d ELSE 1 END) - exp(-d / 100)), 6) END AS score FROM a")
 def rank_unary(spark, sf):
-    return _ranked(spark, sf, abs(_A.log() - (_A * -0.01).exp())).filter("abs(score) <> double('inf')")
+    return _ranked(spark, sf, abs(_A.log() - (_A * -0.01).exp()))
 
 
 @query(f"{_TWO} SELECT coalesce(a.id, b.id) AS id, round(-(0.6 / (60 + coalesce(a.r - 1, 1000)) + 0.4 / (60 + coalesce(b.r - 1, 1000))), 6) AS score FROM a FULL JOIN b ON a.id = b.id")
@@ -340,27 +340,21 @@ def query_records(spark, sf):
 
 # Text.
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
-_TOKENS = rf"toks AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\x80-\x{{10ffff}}\s]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND length(w) <= 40 AND w NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL)"
+_TOKENS = rf"toks AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: lower(w)), lambda w: w <> '' AND length(w) <= 40 AND w NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL)"
 
 
-def _ascii_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of plain ASCII, on which tokenizers of both engines agree about letters."""
-    return table(spark, sf, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
-
-
-_ASCII = _TOKENS.replace("WHERE text IS NOT NULL", r"WHERE NOT regexp_matches(text, '[^\x00-\x7f]')")
-_TF = f"WITH {_ASCII}, tf AS (SELECT id, w AS dim, count(*) AS n, any_value(len) AS len FROM (SELECT id, unnest(t) AS w, len(t) AS len FROM toks) GROUP BY id, w), wt AS (SELECT id, dim, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / 256.0)) AS weight FROM tf)"
+_TF = f"WITH {_TOKENS}, tf AS (SELECT id, w AS dim, count(*) AS n, any_value(len) AS len FROM (SELECT id, unnest(t) AS w, len(t) AS len FROM toks) GROUP BY id, w), wt AS (SELECT id, dim, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / 256.0)) AS weight FROM tf)"
 
 
 @query(f"{_TF} SELECT id, dim, round(weight, 6) AS weight FROM wt")
 def bm25_tf(spark, sf):
-    return bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False).withColumn("weight", F.round("weight", 6))
+    return bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"{_TF} SELECT dim, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM wt GROUP BY dim")
 def idf_df(spark, sf):
     docs = table(spark, sf, "documents")
-    return idf(bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False), docs.count()).withColumn("idf", F.round("idf", 6))
+    return idf(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 _WORDS = ("shard", "collection", "metadata", "filter")
@@ -379,13 +373,13 @@ _SPARSE = f"""{_TF}, q(query_id, dim, weight) AS (VALUES {", ".join([f"(0, '{w}'
 
 @query(_SPARSE.replace("@idf@", ""))
 def sparse_knn_overlap(spark, sf):
-    return _found(sparse_knn(bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False), _sparse_queries(spark), 15))
+    return _found(sparse_knn(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False), _sparse_queries(spark), 15))
 
 
 @query(_SPARSE.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
 def sparse_knn_idf(spark, sf):
     size = table(spark, sf, "documents").count()
-    w = checkpointed(bm25_weights(_ascii_docs(spark, sf), "doc_id", "text", stem=False))  # the inverted index
+    w = checkpointed(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False))  # the inverted index
     return _found(sparse_knn(w, rescale(_sparse_queries(spark), idf(w, size), size), 15))
 
 
@@ -394,9 +388,9 @@ def bm25_stemmed(spark, sf):
     return bm25_weights(table(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))) AS n FROM documents WHERE text IS NOT NULL AND length(text) >= 3")
+@query("SELECT doc_id, coalesce(len(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))), 0) AS n FROM documents")
 def doc_trigrams(spark, sf):
-    return table(spark, sf, "documents").filter(F.length("text") >= 3).select("doc_id", F.size(T.trigrams(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.array_size(T.trigrams(F.col("text"))), F.lit(0)).cast("long").alias("n"))
 
 
 @query()
