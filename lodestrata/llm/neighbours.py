@@ -106,26 +106,39 @@ def neighbour_lists(rows: DataFrame, k: int = 5, rerank: int = RERANK, posts: in
     pivots = pivots.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).select(F.col("collection").alias("_pc"), F.col("_slice").alias("_ps"), "pivots")
     sliced = tagged.withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).select("collection", "_slice", "space", "id", "vec")
 
-    def post(key: tuple, vecs: pd.DataFrame, pivs: pd.DataFrame) -> pd.DataFrame:
-        names = ["collection", "space", "pivot", "id", "vec", "code"]
-        if not len(vecs) or not len(pivs):
-            return pd.DataFrame(columns=names)
+    def nearest_pivots(vecs: pd.DataFrame, pivs: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their vectors, all pivots, the nearest pivots of each row), some thousand rows at a time."""
         p = _vectors(pd.Series(list(pivs["pivots"].iloc[0])), np.float32).astype(float)
-        space, parts = vecs["space"].iloc[0], []
+        n = min(posts, len(p))
         for s in range(0, len(vecs), 4096):
             part = vecs.iloc[s : s + 4096]
             x = _vectors(part["vec"], np.float32).astype(float)
-            d = distances(x, p, space)
-            n = min(posts, len(p))
-            near = np.argpartition(d, n - 1, axis=1)[:, :n]
+            yield part, x, p, np.argpartition(distances(x, p, vecs["space"].iloc[0]), n - 1, axis=1)[:, :n]
+
+    def lengths_of(key: tuple, vecs: pd.DataFrame, pivs: pd.DataFrame) -> pd.DataFrame:
+        if not len(vecs) or not len(pivs):
+            return pd.DataFrame(columns=["collection", "pivot", "n"])
+        held = sum(np.bincount(near.ravel(), minlength=len(p)) for _, _, p, near in nearest_pivots(vecs, pivs))
+        at = np.flatnonzero(held)
+        return pd.DataFrame({"collection": key[0], "pivot": at.astype("int32"), "n": held[at]})
+
+    def post(key: tuple, vecs: pd.DataFrame, pivs: pd.DataFrame) -> pd.DataFrame:
+        if not len(vecs) or not len(pivs):
+            return pd.DataFrame(columns=["collection", "space", "pivot", "id", "vec", "code"])
+        space, parts = vecs["space"].iloc[0], []
+        for part, x, p, near in nearest_pivots(vecs, pivs):
+            n = near.shape[1]
             code = [r.tobytes() for r in codes(x, p, space)]
             parts.append(pd.DataFrame({"collection": key[0], "space": space, "pivot": near.ravel().astype("int32"), "id": np.repeat(part["id"].to_numpy(), n), "vec": np.repeat(part["vec"].to_numpy(), n), "code": np.repeat(np.array(code, object), n)}))
         return pd.concat(parts)
 
-    posted = sliced.groupBy("collection", "_slice").cogroup(pivots.groupBy("_pc", "_ps")).applyInPandas(post, "collection string, space string, pivot int, id long, vec binary, code binary")
-    posted = checkpointed(posted)
-    lengths = checkpointed(posted.groupBy("collection", "pivot").agg(F.count(F.lit(1)).alias("_len")).withColumn("_blocks", F.ceil(F.col("_len") / block).cast("int")))
-    placed = counted_join(posted, lengths, ["collection", "pivot"], "_len", F.col("id")).withColumn("_own", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.col("_blocks")).cast("int"))
+    # The lengths of the files come from a first pass that hands on counts only, so that no posting is written down twice.
+    both = sliced.groupBy("collection", "_slice").cogroup(pivots.groupBy("_pc", "_ps"))
+    held = both.applyInPandas(lengths_of, "collection string, pivot int, n long").groupBy("collection", "pivot").agg(F.sum("n").alias("_len"))
+    lengths = checkpointed(held.select("collection", "pivot", F.ceil(F.col("_len") / block).cast("int").alias("_blocks")))
+    posted = both.applyInPandas(post, "collection string, space string, pivot int, id long, vec binary, code binary")
+    placed = lookup(posted, lengths, ["collection", "pivot"], salt=F.col("id")).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.col("_blocks")).cast("int"))
     # A block meets itself and every other one of its file: pair (i, j) with i <= j.
     meets = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     meets = meets.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
