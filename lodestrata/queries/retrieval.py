@@ -229,6 +229,48 @@ def ivf_knn_all_cells(spark, sf):
     return _found(search_cells(build_cells(c, 16), _asked(c), 5, 16))
 
 
+# The same searches for the whole query set; those above keep their four ids, as their SQL does.
+def _stated_sql(sql: str) -> str:
+    return sql.replace(f"q.vec_id IN {ASKED}", "q.vec_id % 20 = 0")
+
+
+@query(_stated_sql(_knn_sql("l2")))
+def knn_l2_stated(spark, sf):
+    c = _corpus(spark, sf)
+    return _found(knn(c, _stated(c), 5, "l2"))
+
+
+@query(_stated_sql(_knn_sql("cosine")))
+def knn_cosine_stated(spark, sf):
+    c = _corpus(spark, sf)
+    return _found(knn(c, _stated(c), 5, "cosine"))
+
+
+@query(_stated_sql(_knn_sql("ip")))
+def knn_ip_stated(spark, sf):
+    c = _corpus(spark, sf)
+    return _found(knn(c, _stated(c), 5, "ip"))
+
+
+@query(_stated_sql(_knn_sql("l2", 5, "e.label IN (1, 3) AND e.label <> 3")))
+def knn_filtered_stated(spark, sf):
+    c = _corpus(spark, sf)
+    hit = c.filter(compile_where(Key("label").is_in([1, 3]) & (Key("label") != 3), FlatBinding(c, {"label": "label"})))
+    return _found(knn(hit, _stated(c), 5, "l2"))
+
+
+@query(_stated_sql(_knn_sql("l2", 8)))
+def knn_merge_shards_stated(spark, sf):
+    c = _corpus(spark, sf).withColumn("shard", oplog.shard_of(F.col("id").cast("string"), 3))
+    return _found(merge([knn(c.filter(F.col("shard") == n), _stated(c), 8, "l2") for n in range(3)], 8))
+
+
+@query(_stated_sql(_knn_sql("l2", 5)))
+def ivf_knn_all_cells_stated(spark, sf):
+    c = _corpus(spark, sf)
+    return _found(search_cells(build_cells(c, 16), _stated(c), 5, 16))
+
+
 @query()
 def ivf_knn(spark, sf):
     c = _corpus(spark, sf)
@@ -345,6 +387,13 @@ def query_records(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(f"SELECT query_id, rank, id::VARCHAR AS id, distance FROM ({_stated_sql(_knn_sql('cosine', 4, 'e.label <> 3'))})")
+def query_records_stated(spark, sf):
+    """``query_records`` for the whole query set."""
+    found = P.run_knn(_records(spark, sf), _stated(_corpus(spark, sf)), 4, "cosine", where={"label": {"$ne": 3}}, include=("distances",))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 # Text.
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _TOKENS = rf"toks AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: lower(w)), lambda w: w <> '' AND length(w) <= 40 AND w NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL)"
