@@ -5,13 +5,24 @@ Sparse vectors are rows (id, dim, weight): an inverted index is this table, clus
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.skew import lookup
+from ..plans.chunks import checkpointed
+from ..plans.skew import fits, lookup
 
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256.0
+#: Most queries that meet the postings in one pass.
+QUERY_BLOCK = 8192
+#: Records whose scores for all queries of a block are in memory at once.
+RECORD_BLOCK = 256
+#: A dimension that more than this share of the queries ask for is multiplied densely; at most mean query length / share are.
+DENSE_SHARE = 0.05
 
 
 def bm25_weights(docs: DataFrame, id: str, text: str, k: float = K1, b: float = B, mean_length: float = MEAN_LENGTH, stem: bool = True) -> DataFrame:
@@ -40,18 +51,148 @@ def sparse_knn(postings: DataFrame, queries: DataFrame, k: int = 10, all_ids: Da
     """(query_id, id, distance, rank): the ``k`` records with the smallest ``1 - inner product`` for each query.
 
     Only records that share a dimension with the query take part; with ``all_ids`` (the index-free form) every one of these
-    does, at distance 1 without a common dimension. Ties go to the smaller id. The queries' dimensions meet the postings in
-    an equi-join, broadcast if the queries are few; sums are partial before they are shuffled.
+    does, at distance 1 without a common dimension. Ties go to the smaller id. The postings are brought together
+    by record and a partition hands on only its ``k`` best per query, as in ``knn``; ``all_ids`` needs all sums and keeps the join.
     """
     q = queries.groupBy("query_id", "dim").agg(F.sum("weight").alias("_q"))
+    if all_ids is None:
+        return _ranked(_best(postings, q, k), k)
     # One row per dimension, so that the join is a lookup: the queries that ask for it.
     asked = q.groupBy("dim").agg(F.collect_list(F.struct("query_id", "_q")).alias("_by"))
     met = lookup(postings.select("id", "dim", "weight"), asked, ["dim"], "inner", salt=F.col("id"))
     hits = met.select("id", "weight", F.explode("_by").alias("_x")).groupBy("_x.query_id", "id").agg(F.sum(F.col("weight") * F.col("_x._q")).alias("_s"))
     scored = hits.select("query_id", "id", (1.0 - F.col("_s")).alias("distance"))
-    if all_ids is not None:
-        every = [r[0] for r in queries.select("query_id").distinct().collect()]  # the stated query set
-        rest = all_ids.select(F.col(all_ids.columns[0]).alias("id"), F.explode(F.lit(every)).alias("query_id"))
-        scored = rest.join(scored, ["query_id", "id"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
+    every = [r[0] for r in queries.select("query_id").distinct().collect()]  # the stated query set
+    rest = all_ids.select(F.col(all_ids.columns[0]).alias("id"), F.explode(F.lit(every)).alias("query_id"))
+    return _ranked(rest.join(scored, ["query_id", "id"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0))), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def _best(postings: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): the ``k`` best of each partition of the records for each query of ``q`` (query_id, dim, _q).
+
+    The queries are gathered, ``QUERY_BLOCK`` at a time at most; each block is one pass over the postings.
+    """
+    q = q.filter("query_id is not null and dim is not null and _q is not null")
+    ids = q.select("query_id").distinct()
+    blocks = 1 if fits(ids, QUERY_BLOCK) else int(np.ceil(ids.count() / (QUERY_BLOCK / 2)))
+    slim = postings.select("id", "dim", "weight").filter("weight is not null")
+    if blocks > 1:
+        q, slim = checkpointed(q), checkpointed(slim)
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {slim.schema['id'].dataType.simpleString()}, distance double"
+    parts = []
+    for n in range(blocks):
+        t = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).toArrow()
+        if not len(t):
+            continue
+        who, dims = (t[c].combine_chunks().dictionary_encode() for c in ("query_id", "dim"))
+        row, dim = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (who, dims))
+        order = np.lexsort((row, dim))
+        start = np.searchsorted(dim[order], np.arange(len(dims.dictionary) + 1))
+        at = q.sparkSession.createDataFrame(pa.table({"dim": dims.dictionary, "_j": pa.array(np.arange(len(dims.dictionary), dtype=np.int32))}))
+        at = at.withColumn("dim", F.col("dim").cast(slim.schema["dim"].dataType))
+        met = lookup(slim, at, ["dim"], "inner", salt=F.col("id")).select("id", "_j", "weight")
+        # Records come in the order of their ids, so that of equal distances the earlier one is the one with the smaller id.
+        placed = met.repartition("id").sortWithinPartitions("id")
+        parts.append(placed.mapInArrow(_best_of_records(who.dictionary, start, row[order], t["_q"].to_numpy().astype(float)[order], k), kinds))
+    if not parts:
+        return q.sparkSession.createDataFrame([], kinds)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def _best_of_records(who: pa.Array, start: np.ndarray, row: np.ndarray, weight: np.ndarray, k: int):
+    """mapInArrow function over (id, dimension's number, weight), ordered by id: the ``k`` best records for each query.
+
+    Dimension ``j`` is asked for by the queries ``row[start[j]:start[j + 1]]``, with the weights there.
+    """
+    size, count = len(who), np.diff(start)
+    positive = bool((weight > 0).all())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The densely multiplied dimensions, as rows of a matrix; -1 for the others.
+        hot = np.flatnonzero(count > max(8, DENSE_SHARE * size))
+        place = np.full(len(count), -1)
+        place[hot] = np.arange(len(hot))
+        dense = np.zeros((len(hot), size))
+        asks = None if positive else np.zeros((len(hot), size))
+        for n, j in enumerate(hot):
+            dense[n, row[start[j] : start[j + 1]]] = weight[start[j] : start[j + 1]]
+            if asks is not None:
+                asks[n, row[start[j] : start[j + 1]]] = 1.0
+        own: list[pa.Array] = []
+        seen = 0
+        # Query, position of the record, distance: at most k of each query, kept sorted by query.
+        bq, bp, bd = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        kth = np.full(size, np.inf)
+
+        def block(rec: np.ndarray, j: np.ndarray, w: np.ndarray, records: int) -> None:
+            nonlocal bq, bp, bd, kth
+            s = np.zeros((records, size))
+            mask = positive and bool((w > 0).all())
+            met = None if mask else np.zeros((records, size), bool)
+            at = place[j]
+            d = at >= 0
+            if d.any():
+                m = np.zeros((records, len(hot)))
+                np.add.at(m, (rec[d], at[d]), w[d])
+                s += m @ dense
+                if met is not None:
+                    h = np.zeros((records, len(hot)))
+                    h[rec[d], at[d]] = 1.0
+                    met |= h @ (dense != 0 if asks is None else asks) > 0
+            for r, x, v in zip(rec[~d].tolist(), j[~d].tolist(), w[~d].tolist()):
+                a, b = start[x], start[x + 1]
+                s[r][row[a:b]] += v * weight[a:b]
+                if met is not None:
+                    met[r][row[a:b]] = True
+            p, x = np.nonzero((s > (1.0 - kth - 1e-8)[None]) & (s != 0 if met is None else met))
+            bq, bp, bd = np.concatenate([bq, x]), np.concatenate([bp, p + seen]), np.concatenate([bd, 1.0 - s[p, x]])
+            o = np.lexsort((bp, np.round(bd, 9), bq))
+            bq, bp, bd = bq[o], bp[o], bd[o]
+            first = np.searchsorted(bq, np.arange(size))
+            keep = np.arange(len(bq)) - first[bq] < k
+            bq, bp, bd = bq[keep], bp[keep], bd[keep]
+            have = np.bincount(bq, minlength=size)
+            last = np.cumsum(have) - 1
+            kth = np.where(have == k, bd[np.maximum(last, 0)] if len(bd) else np.inf, np.inf)
+
+        def done(t: pa.Table, everything: bool) -> pa.Table:
+            """Work off the records that are whole, all or all but the last one; the rest is given back."""
+            nonlocal seen
+            id = t["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+            rec = id.indices.to_numpy(zero_copy_only=False)
+            whole = len(id.dictionary) - (0 if everything else 1)
+            upto = int(np.searchsorted(rec, whole))
+            j, w = (t[c].to_numpy() for c in ("_j", "weight"))
+            for a in range(0, whole, RECORD_BLOCK):
+                b = min(whole, a + RECORD_BLOCK)
+                x, y = np.searchsorted(rec, (a, b))
+                block(rec[x:y] - a, j[x:y], w[x:y].astype(float), b - a)
+                own.append(id.dictionary.slice(a, b - a))
+                seen += b - a
+            return t.slice(upto)
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows > RECORD_BLOCK * 256:
+                held = done(pa.Table.from_batches(held), False).to_batches()
+                rows = 0
+        if held:
+            done(pa.Table.from_batches(held), True)
+        if seen and len(bq):
+            ids = pa.concat_arrays(own)
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(bq)), ids.take(pa.array(bp)), pa.array(bd)], ["query_id", "id", "distance"])
+
+    return run

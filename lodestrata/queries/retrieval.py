@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -439,6 +440,27 @@ def sparse_knn_idf(spark, sf):
     return _found(sparse_knn(w, rescale(_sparse_queries(spark), idf(w, size), size), 15))
 
 
+# Every twentieth document's text as a query against all documents.
+_SPARSE_STATED = re.sub(r"q\(query_id, dim, weight\) AS \(VALUES .*?\)\),", "q AS (SELECT id AS query_id, dim, weight FROM wt WHERE id % 20 = 0),", _SPARSE)
+
+
+def _texts(weights: DataFrame) -> DataFrame:
+    return weights.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "dim", "weight")
+
+
+@query(_SPARSE_STATED.replace("@idf@", ""))
+def sparse_knn_overlap_stated(spark, sf):
+    docs = table(spark, sf, "documents")
+    return _found(sparse_knn(bm25_weights(docs, "doc_id", "text", stem=False), _texts(bm25_weights(docs.filter("doc_id % 20 = 0"), "doc_id", "text", stem=False)), 15))
+
+
+@query(_SPARSE_STATED.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
+def sparse_knn_idf_stated(spark, sf):
+    size = table(spark, sf, "documents").count()
+    w = checkpointed(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False))  # the inverted index
+    return _found(sparse_knn(w, rescale(_texts(w), idf(w, size), size), 15))
+
+
 @query()
 def bm25_stemmed(spark, sf):
     return bm25_weights(table(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
