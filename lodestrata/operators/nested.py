@@ -23,6 +23,8 @@ NODE_SCHEMA = "_doc_hash long, node_type string, pre long, post long, parent_pre
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?|true|false|null|-?Infinity|NaN")
 _WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+#: Deepest nesting of a field that is kept as it is; Spark's JSON functions give null for a text of more than 1,000 levels.
+DEEPEST = 900
 _SURROGATES = re.compile("[\ud800-\udfff]")
 
 
@@ -103,11 +105,42 @@ def _parse_deep(text: str) -> Any:
             raise ValueError("value expected")
 
 
-def _text(v: Any) -> str:
-    try:
-        s = json.dumps(v, ensure_ascii=False)
-    except RecursionError:
-        s = '"..."'
+def _deep(v: Any) -> bool:
+    """Whether ``v`` nests deeper than ``DEEPEST``."""
+    level = [v]
+    for _ in range(DEEPEST):
+        level = [x for c in level if isinstance(c, (dict, list)) for x in (c.values() if isinstance(c, dict) else c)]
+        if not level:
+            return False
+    return True
+
+
+def _dumps(v: Any) -> str:
+    """As ``json.dumps``, with a stack of its own in place of recursion."""
+    out: list[str] = []
+    stack: list[Any] = [v]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, tuple):  # text as it stands
+            out.append(x[0])
+        elif isinstance(x, dict):
+            parts: list[Any] = [("{",)]
+            for n, (k, y) in enumerate(x.items()):
+                parts += [(", " * (n > 0) + json.dumps(k, ensure_ascii=False) + ": ",), y]
+            stack += reversed([*parts, ("}",)])
+        elif isinstance(x, list):
+            parts = [("[",)]
+            for n, y in enumerate(x):
+                parts += [(", ",), y] if n else [y]
+            stack += reversed([*parts, ("]",)])
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def _text(attrs: dict[str, Any]) -> str:
+    """JSON of a node's fields; one that nests deeper than Spark can read is kept as the string of its JSON."""
+    s = json.dumps({k: _dumps(v) if isinstance(v, (dict, list)) and _deep(v) else v for k, v in attrs.items()}, ensure_ascii=False)
     return _SURROGATES.sub("�", s)
 
 

@@ -47,3 +47,14 @@ def test_empty(spark):
 def test_lone_surrogates_are_replaced(spark):
     df = spark.createDataFrame([(1, '{"path": "a\\ud800b", "fragments": []}')], "doc int, b string")
     assert "�" in node_table(df, "doc", "b", "snapshot", SNAPSHOT_TYPES).first()["attrs"]
+
+
+def test_a_deep_field_leaves_the_others_readable(spark):
+    from pyspark.sql import functions as F
+
+    for depth in (5, 1_500, 50_000):
+        field = '{"a": [' * depth + "1" + "]}" * depth
+        df = spark.createDataFrame([(1, f'{{"x": {field}, "path": "p", "snapshots": [{{"path_to_snapshot": "q"}}]}}')], "doc int, b string")
+        got = node_table(df, "doc", "b", "snapshot", SNAPSHOT_TYPES).select("level", F.get_json_object("attrs", "$.path").alias("p"), F.get_json_object("attrs", "$.path_to_snapshot").alias("q"), F.get_json_object("attrs", "$.x").alias("x")).collect()
+        assert {r["p"] for r in got if r["level"] == 0} == {"p"} and "q" in {r["q"] for r in got}
+        assert {r["x"].replace(" ", "") for r in got if r["level"] == 0} == {field.replace(" ", "")}
