@@ -1,54 +1,73 @@
-"""Nearest neighbours of every vector of its collection by a permutation index.
+"""Nearest neighbours of every vector of its collection by a permutation index of two levels.
 
-Each collection gets pivots, a bounded sample of its vectors (``PIVOTS_PER_ROOT`` times the root of its size). A vector is
-represented by the order of the pivots by distance from it, and posted in the inverted files of its ``POSTS`` nearest pivots.
-Within a file the footrule distance of the orders ranks the candidates, and the best of them are ranked again by the exact
-distance. The footrule is taken over positions in a few classes, as the Hamming distance of thermometer codes.
+Each collection gets pivots: a bounded sample of its vectors, some of which are moved to the mean of the sampled vectors
+nearest to them. A vector is posted in the inverted files of the first ``POSTS`` pivots of its order of pivots. Within a file
+a vector is represented by its order of the file's own pivots, drawn from its members; the footrule distance of these whole
+orders chooses the candidates, and only these are ranked again by the exact distance. The footrule is taken over positions
+in classes, as the Hamming distance of thermometer codes.
 
-Every vector is posted and queried. Files are cut into blocks of ``BLOCK`` vectors, and pairs of blocks are the units of work,
-so a file of any length is done whole. Equal vectors are one entry; their ids come back in at the end.
+With squared distances, pivots of small length come first in nearly every order, and their files swallow the collection. So
+pivots are ordered by the squared distance less half of the pivot's squared length, which keeps files short.
+
+Every vector is posted and queried. A file longer than ``BLOCK`` is done whole, as pairs of blocks. Equal vectors are one
+entry that carries their first ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed
 from ..plans.skew import counted_join, lookup
 from .topn import top_n
 
-PIVOTS_PER_ROOT, LEAST_PIVOTS, POSTS, BLOCK, CODE_PIVOTS, CODE_STEPS = 2.0, 48, 6, 1024, 128, (4, 12, 32, 64)
-#: Candidates of a file that are ranked again, for each vector and block of the file.
-RERANK = 400
-#: Vectors that are permuted together with one copy of their collection's pivots, per pivot.
-SLICE_PER_PIVOT, MOST_SLICE = 64, 65_536
-
-
-def distances(a: np.ndarray, b: np.ndarray, space: str) -> np.ndarray:
-    """Matrix of distances, double precision: squared Euclidean, 1 - cosine or 1 - inner product."""
-    if space == "cosine":
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-    if space in ("cosine", "ip"):
-        return 1.0 - a @ b.T
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
-
-
-def orders(vectors: np.ndarray, pivots: np.ndarray, space: str) -> np.ndarray:
-    """Pivots of each vector, nearest first."""
-    return np.argsort(distances(vectors, pivots, space), axis=1, kind="stable")
-
-
-def codes(vectors: np.ndarray, pivots: np.ndarray, space: str) -> np.ndarray:
-    """Thermometer codes of the positions of the first CODE_PIVOTS pivots, as rows of 64-bit words."""
-    order = orders(vectors, pivots[:CODE_PIVOTS], space)
+#: Pivots of a collection per root of its size, and bounds of their number.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 1.5, 32, 16_384
+#: Sampled vectors per pivot, and rounds of moving the pivots.
+SAMPLE_PER_PIVOT, ROUNDS = 16, 3
+POSTS, BLOCK = 5, 16_384
+#: Pivots of a file, and the shares of them that bound the classes of positions.
+FILE_PIVOTS, CLASSES = 96, (0.04, 0.12, 0.28, 0.55)
+#: Candidates of a vector in a file (or block of one) per root of the file's size.
+RERANK_PER_ROOT = 8.0
+#: Most bytes of pivots that are broadcast; beyond, vectors meet their collection's pivots in slices of so many vectors.
+PIVOT_BYTES, SLICE = 64 << 20, 65_536
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1."""
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def pivot_keys(x: np.ndarray, pivots: np.ndarray, space: str, balance: float = 0.5) -> np.ndarray:
+    """Matrix that sorts the pivots of each vector, nearest first; under l2, without ``balance`` of the pivot's squared length."""
+    if space == "l2":
+        return (1.0 - balance) * (pivots * pivots).sum(1)[None] - 2.0 * (x @ pivots.T)
+    return -(x @ pivots.T)
+
+
+def moved(sample: np.ndarray, pivots: np.ndarray, space: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Pivots after some rounds of moving each to the mean of the sampled vectors nearest to it."""
+    for _ in range(rounds):
+        at = np.concatenate([pivot_keys(sample[s : s + 4096], pivots, "cosine" if space == "cosine" else "l2", 0.0).argmin(1) for s in range(0, len(sample), 4096)])
+        held = np.bincount(at, minlength=len(pivots))
+        total = np.zeros_like(pivots)
+        np.add.at(total, at, sample)
+        pivots = np.where(held[:, None] > 0, total / np.maximum(held, 1)[:, None], pivots).astype(np.float32)
+    return pivots
+
+
+def codes(x: np.ndarray, pivots: np.ndarray, space: str) -> np.ndarray:
+    """Thermometer codes of the positions of all pivots in each vector's order, as rows of 64-bit words."""
+    order = np.argsort(pivot_keys(x, pivots, space, 0.0), axis=1, kind="stable")
     place = np.empty(order.shape, np.int16)
     np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None], axis=1)
-    bits = np.concatenate([place < s for s in CODE_STEPS], axis=1)
+    bits = np.concatenate([place < max(1, int(order.shape[1] * c)) for c in CLASSES], axis=1)
     return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
 
 
@@ -60,102 +79,190 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(column: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
-
-
-def _best(d: np.ndarray, f: np.ndarray, ids: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and columns of each row's k nearest among its ``rerank`` best by footrule."""
-    if f.shape[1] > rerank:
-        d = np.where(f <= np.partition(f, rerank - 1, axis=1)[:, rerank - 1 : rerank], d, np.inf)
-    k = min(k, d.shape[1])
-    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.broadcast_to(np.arange(k), (len(d), k))
-    return np.take_along_axis(d, at, 1), at
-
-
-def block_pairs(left: pd.DataFrame, right: pd.DataFrame | None, space: str, k: int, rerank: int) -> pd.DataFrame:
-    """(a, b, d): the k best of the right block for each vector of the left one and, the other way round, for the right's."""
-    one = right is None
-    x, cx, ix = _vectors(left["vec"], np.float32).astype(float), _vectors(left["code"], np.uint64), left["id"].to_numpy()
-    y, cy, iy = (x, cx, ix) if one else (_vectors(right["vec"], np.float32).astype(float), _vectors(right["code"], np.uint64), right["id"].to_numpy())
-    d, f = distances(x, y, space), footrule(cx, cy)
-    if one:
-        np.fill_diagonal(d, np.inf)
-        np.fill_diagonal(f, np.iinfo(np.uint16).max)
-    out = []
-    for dist, foot, mine, theirs in ((d, f, ix, iy), *(() if one else ((d.T, f.T, iy, ix),))):
-        near, at = _best(np.ascontiguousarray(dist), np.ascontiguousarray(foot), theirs, k, rerank)
-        out.append(pd.DataFrame({"a": np.repeat(mine, at.shape[1]), "b": theirs[at].ravel(), "d": near.ravel()}))
-    both = pd.concat(out)
-    return both[np.isfinite(both["d"])]
+def exact(x: np.ndarray, y: np.ndarray, space: str) -> np.ndarray:
+    """Distances in double precision, rounded to 6 decimals, of each row of ``x`` (n, dim) to its own rows of ``y`` (n, k, dim)."""
+    x, y = x.astype(np.float64)[:, None], y.astype(np.float64)
+    if space == "l2":
+        return np.round(((x - y) ** 2).sum(2), 6)
+    dot = (x * y).sum(2)
+    if space == "cosine":
+        dot = dot / np.maximum(np.sqrt((x * x).sum(2)) * np.sqrt((y * y).sum(2)), 1e-300)
+    return np.round(1.0 - dot, 6)
 
 
-def neighbour_lists(rows: DataFrame, k: int = 5, rerank: int = RERANK, posts: int = POSTS, block: int = BLOCK) -> DataFrame:
-    """(collection, id, near): for every entry the ``k`` nearest found, array of (d, b) by (rounded distance, id).
+def nearest_in_file(x: np.ndarray, y: np.ndarray | None, space: str, k: int, per_root: float = RERANK_PER_ROOT, seed: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, their k nearest rows of y, the distances), some rows at a time; without ``y`` among the rows of ``x``.
 
-    ``rows``: collection, space, id (long, unique), vec (binary of float32), with no equal vectors; should be checkpointed.
+    The footrule of the orders of drawn pivots names the candidates; no distance of any other pair is computed.
     """
-    sizes = rows.groupBy("collection").agg(F.count(F.lit(1)).alias("_n"))
-    # As many pivots as the root tells; a draw of about four times as many bounds what the window sorts.
-    m = F.least(F.col("_n"), F.greatest(F.lit(LEAST_PIVOTS), F.ceil(F.sqrt("_n") * PIVOTS_PER_ROOT))).cast("int")
-    sizes = checkpointed(sizes.withColumn("_m", m).withColumn("_slices", F.ceil(F.col("_n") / F.least(F.col("_m") * SLICE_PER_PIVOT, F.lit(MOST_SLICE))).cast("int")))
-    tagged = lookup(rows, sizes, ["collection"], "inner", salt=F.col("id"))
-    draw = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = tagged.filter(draw < F.col("_m") * 4 / F.col("_n") + 0.01 * (F.col("_n") < 5000).cast("int")).withColumn("_at", F.row_number().over(Window.partitionBy("collection").orderBy(F.xxhash64(F.lit(5), F.col("id")), "id"))).filter("_at <= _m")
-    pivots = drawn.groupBy("collection").agg(F.first("_slices").alias("_slices"), F.transform(F.array_sort(F.collect_list(F.struct("_at", "vec"))), lambda s: s["vec"]).alias("pivots"))
-    pivots = pivots.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).select(F.col("collection").alias("_pc"), F.col("_slice").alias("_ps"), "pivots")
-    sliced = tagged.withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).select("collection", "_slice", "space", "id", "vec")
-
-    def nearest_pivots(vecs: pd.DataFrame, pivs: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, their vectors, all pivots, the nearest pivots of each row), some thousand rows at a time."""
-        p = _vectors(pd.Series(list(pivs["pivots"].iloc[0])), np.float32).astype(float)
+    own = y is None
+    y = x if own else y
+    n = len(y)
+    if len(x) == 0 or n < 1 + own:
+        return
+    fx, fy = (unit(x), unit(y)) if space == "cosine" else (x, y)
+    both = fx if own else np.concatenate([fx, fy])
+    pivots = both[np.random.default_rng(seed).permutation(len(both))[:FILE_PIVOTS]]
+    cx = codes(fx, pivots, space)
+    cy = cx if own else codes(fy, pivots, space)
+    square = (fy * fy).sum(1)
+    most = min(n - own, k + int(np.ceil(per_root * n**0.5)))
+    step = max(16, min(128, (1 << 21) // n))
+    for s in range(0, len(x), step):
+        rows = np.arange(s, min(s + step, len(x)))
+        f = footrule(cx[rows], cy)
+        if own:
+            f[np.arange(len(rows)), rows] = np.iinfo(np.uint16).max
+        at = np.argpartition(f, most - 1, axis=1)[:, :most] if most < n else np.broadcast_to(np.arange(n), f.shape)
+        dot = np.matmul(fy[at], fx[rows][:, :, None])[..., 0]
+        rough = square[at] - 2.0 * dot if space == "l2" else -dot
+        keep = min(most, 2 * k)
+        at = np.take_along_axis(at, np.argpartition(rough, keep - 1, axis=1)[:, :keep], 1)
+        d = exact(x[rows], y[at], space)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        yield rows, np.take_along_axis(at, best, 1), np.take_along_axis(d, best, 1)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of equal length of a column of lists of floats, or of their bytes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0), np.float32)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
+
+
+def _lists(kind: pa.DataType, sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+
+
+def _post(table: pa.Table, pivots: dict[str, np.ndarray], posts: int) -> Iterator[pa.RecordBatch]:
+    """Entries with the files that they are posted in, and for those with copies the distance of equal vectors."""
+    names = np.array(table.column("collection").to_pylist(), object)
+    for c in dict.fromkeys(names.tolist()):
+        part = table.filter(pa.array(names == c)) if len(table) else table
+        if c not in pivots or not len(part):
+            continue
+        x, p, space = _matrix(part.column("emb")), pivots[c], part.column("space")[0].as_py()
         n = min(posts, len(p))
-        for s in range(0, len(vecs), 4096):
-            part = vecs.iloc[s : s + 4096]
-            x = _vectors(part["vec"], np.float32).astype(float)
-            yield part, x, p, np.argpartition(distances(x, p, vecs["space"].iloc[0]), n - 1, axis=1)[:, :n]
-
-    def lengths_of(key: tuple, vecs: pd.DataFrame, pivs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vecs) or not len(pivs):
-            return pd.DataFrame(columns=["collection", "pivot", "n"])
-        held = sum(np.bincount(near.ravel(), minlength=len(p)) for _, _, p, near in nearest_pivots(vecs, pivs))
-        at = np.flatnonzero(held)
-        return pd.DataFrame({"collection": key[0], "pivot": at.astype("int32"), "n": held[at]})
-
-    def post(key: tuple, vecs: pd.DataFrame, pivs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vecs) or not len(pivs):
-            return pd.DataFrame(columns=["collection", "space", "pivot", "id", "vec", "code"])
-        space, parts = vecs["space"].iloc[0], []
-        for part, x, p, near in nearest_pivots(vecs, pivs):
-            n = near.shape[1]
-            code = [r.tobytes() for r in codes(x, p, space)]
-            parts.append(pd.DataFrame({"collection": key[0], "space": space, "pivot": near.ravel().astype("int32"), "id": np.repeat(part["id"].to_numpy(), n), "vec": np.repeat(part["vec"].to_numpy(), n), "code": np.repeat(np.array(code, object), n)}))
-        return pd.concat(parts)
-
-    # The lengths of the files come from a first pass that hands on counts only, so that no posting is written down twice.
-    both = sliced.groupBy("collection", "_slice").cogroup(pivots.groupBy("_pc", "_ps"))
-    held = both.applyInPandas(lengths_of, "collection string, pivot int, n long").groupBy("collection", "pivot").agg(F.sum("n").alias("_len"))
-    lengths = checkpointed(held.select("collection", "pivot", F.ceil(F.col("_len") / block).cast("int").alias("_blocks")))
-    posted = both.applyInPandas(post, "collection string, space string, pivot int, id long, vec binary, code binary")
-    placed = lookup(posted, lengths, ["collection", "pivot"], salt=F.col("id")).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    placed = placed.withColumn("_own", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.col("_blocks")).cast("int"))
-    # A block meets itself and every other one of its file: pair (i, j) with i <= j.
-    meets = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    meets = meets.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-
-    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        left = g[g["_own"] == i]
-        if i == j:
-            found = block_pairs(left, None, g["space"].iloc[0], k, rerank) if len(left) > 1 else pd.DataFrame(columns=["a", "b", "d"])
-        else:
-            right = g[g["_own"] == j]
-            found = block_pairs(left, right, g["space"].iloc[0], k, rerank) if len(left) and len(right) else pd.DataFrame(columns=["a", "b", "d"])
-        return found.assign(collection=key[0])[["collection", "a", "b", "d"]]
-
-    found = meets.select("collection", "pivot", "_i", "_j", "_own", "space", "id", "vec", "code").groupBy("collection", "pivot", "_i", "_j").applyInPandas(meet, "collection string, a long, b long, d double")
-    best = found.groupBy("collection", F.col("a").alias("id")).agg(F.collect_set(F.struct(F.round("d", 6).alias("d"), "b")).alias("_all"))
-    return best.select("collection", "id", F.slice(F.array_sort("_all"), 1, k).alias("near"))
+        near = np.concatenate([np.argpartition(pivot_keys(unit(v) if space == "cosine" else v, p, space), n - 1, axis=1)[:, :n] for v in (x[s : s + 4096] for s in range(0, len(x), 4096))])
+        same = np.round(1.0 - (x.astype(np.float64) ** 2).sum(1), 6) if space == "ip" else np.zeros(len(x))
+        cols = {
+            "collection": part.column("collection").combine_chunks(),
+            "space": part.column("space").combine_chunks(),
+            "id": part.column("id").combine_chunks(),
+            "ids": part.column("ids").combine_chunks(),
+            "_n": part.column("_n").combine_chunks(),
+            "same": pa.array(same),
+            "files": _lists(pa.int32(), np.full(len(x), n), near.ravel().astype(np.int32)),
+            "vec": pa.array([v.tobytes() for v in x], pa.binary()),
+        }
+        yield from pa.table(cols).to_batches()
+
+
+def posted_entries(entries: DataFrame, sizes: DataFrame, pivots: DataFrame, posts: int) -> DataFrame:
+    """``entries`` with ``files``, the pivots of their collection that they are posted under, and ``vec``, the vector's bytes.
+
+    The pivots are broadcast if they have at most ``PIVOT_BYTES``, else repeated for every slice of a collection.
+    """
+    schema = "collection string, space string, id long, ids array<long>, _n long, same double, files array<int>, vec binary"
+    if (pivots.agg(F.sum(F.length("pivots"))).first()[0] or 0) <= PIVOT_BYTES:
+        held = {r["collection"]: np.frombuffer(r["pivots"], np.float32).reshape(r["m"], -1) for r in pivots.toLocalIterator()}
+        shared = entries.sparkSession.sparkContext.broadcast(held)
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from _post(pa.Table.from_batches([b]), shared.value, posts)
+
+        return entries.mapInArrow(post, schema)
+    sliced = lookup(entries, sizes.select("collection", F.ceil(F.col("_n") / SLICE).cast("int").alias("_slices")), ["collection"], "inner", salt=F.col("id"))
+    sliced = sliced.withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).drop("_slices")
+    wide = pivots.join(sizes.select(F.col("collection").alias("_c"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / SLICE).cast("int") - 1)).alias("_ps")), F.col("collection") == F.col("_c"))
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {r["collection"]: np.frombuffer(r["pivots"], np.float32).reshape(r["m"], -1) for r in right.to_pylist()}
+        batches = list(_post(left, held, posts))
+        return pa.Table.from_batches(batches) if batches else _arrow(schema).empty_table()
+
+    return sliced.groupBy("collection", "_slice").cogroup(wide.select("collection", "_ps", "pivots", "m").groupBy("collection", "_ps")).applyInArrow(meet, schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in ddl.split(", "))])
+
+
+FOUND = "collection string, id long, d array<double>, b array<long>"
+
+
+def _search_file(k: int, per_root: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The search of one file, or of two blocks of one, as a function of its key and rows."""
+
+    def expanded(ids: np.ndarray, at: np.ndarray, d: np.ndarray, members: pa.Array, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, distances and ids of lists of entries, those with copies replaced by their first ids."""
+        if not copies[at].any():
+            return np.full(len(at), at.shape[1]), d.ravel(), ids[at].ravel()
+        of = [m.as_py() or [i] for m, i in zip(members, ids.tolist(), strict=True)]
+        lists = [[(dist, b) for j, dist in zip(r, ds, strict=True) for b in of[j]] for r, ds in zip(at.tolist(), d.tolist(), strict=True)]
+        flat = [x for row in lists for x in row]
+        return np.array([len(row) for row in lists]), np.array([x[0] for x in flat], float), np.array([x[1] for x in flat], np.int64)
+
+    def search(key: tuple, g: pa.Table) -> pa.Table:
+        i, j = key[2].as_py(), key[3].as_py()
+        collection, space = key[0].as_py(), g.column("space")[0].as_py()
+        own = g.column("_own").to_numpy()
+        sides = [g] if i == j else [g.filter(pa.array(own == i)), g.filter(pa.array(own == j))]
+        x = [_matrix(s.column("vec")) for s in sides]
+        parts = []
+        for one, other in ((0, None),) if i == j else ((0, 1), (1, 0)):
+            target = sides[one if other is None else other]
+            mine, ids = sides[one].column("id").to_numpy(), target.column("id").to_numpy()
+            members = target.column("ids").combine_chunks()
+            copies = members.is_valid().to_numpy(zero_copy_only=False)
+            for rows, at, d in nearest_in_file(x[one], None if other is None else x[other], space, k, per_root):
+                sizes, dist, b = expanded(ids, at, d, members, copies)
+                parts.append(pa.table({"collection": pa.array([collection] * len(rows), pa.string()), "id": pa.array(mine[rows]), "d": _lists(pa.float64(), sizes, dist), "b": _lists(pa.int64(), sizes, b)}))
+        return pa.concat_tables(parts) if parts else _arrow(FOUND).empty_table()
+
+    return search
+
+
+def neighbour_lists(entries: DataFrame, sizes: DataFrame, k: int = 5, per_root: float = RERANK_PER_ROOT, posts: int = POSTS, block: int = BLOCK) -> DataFrame:
+    """(collection, id, near, _n): for every entry the nearest ids found, array of (d, b) by (rounded distance, id).
+
+    ``entries``: collection, space, id (unique), emb (array of float), ids (the first ids of an entry with copies, else null)
+    and _n (their number, else null), with no equal vectors. ``sizes``: collection and its number of entries. Lists hold
+    ``k`` ids; of entries with copies ``k + 1``, their own first ids among them.
+    """
+    m = F.least(F.col("_n"), F.lit(MOST_PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.ceil(F.sqrt("_n") * PIVOTS_PER_ROOT))).cast("int")
+    drawn = lookup(entries.select("collection", "space", "emb"), sizes.withColumn("_m", m).withColumnRenamed("_n", "_size"), ["collection"], "inner", salt=F.col("emb")).withColumn("_h", F.xxhash64(F.lit(5), F.col("emb")))
+    drawn = drawn.filter(F.pmod("_h", F.lit(1 << 30)) / float(1 << 30) < F.col("_m") * SAMPLE_PER_PIVOT / F.col("_size"))
+
+    def draw(key: tuple, g: pa.Table) -> pa.Table:
+        g = g.sort_by("_h")
+        sample, space, m = _matrix(g.column("emb")), g.column("space")[0].as_py(), g.column("_m")[0].as_py()
+        sample = unit(sample).astype(np.float32) if space == "cosine" else sample
+        pivots = moved(sample, sample[:m].copy(), space)
+        return pa.table({"collection": pa.array([key[0].as_py()], pa.string()), "m": pa.array([len(pivots)], pa.int32()), "pivots": pa.array([pivots.astype(np.float32).tobytes()], pa.binary())})
+
+    pivots = checkpointed(drawn.groupBy("collection").applyInArrow(draw, "collection string, m int, pivots binary"))
+    placed = checkpointed(posted_entries(entries, sizes, pivots, posts))
+    files = placed.select("collection", F.explode("files").alias("pivot")).groupBy("collection", "pivot").agg(F.count(F.lit(1)).alias("_len"))
+    long = checkpointed(files.filter(F.col("_len") > block).select("collection", "pivot", F.ceil(F.col("_len") / block).cast("int").alias("_blocks")))
+    posted = placed.select("collection", "space", "id", "ids", "vec", F.explode("files").alias("pivot"))
+    # A block of a long file meets itself and every other one of its file: pair (i, j) with i <= j.
+    meets = lookup(posted, long, ["collection", "pivot"], salt=F.col("id")).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    meets = meets.withColumn("_own", F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.col("_blocks")).cast("int"))
+    meets = meets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    meets = meets.select("collection", "pivot", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "space", "id", "ids", "vec")
+    found = meets.groupBy("collection", "pivot", "_i", "_j").applyInArrow(_search_file(k, per_root), FOUND)
+    own = placed.filter("ids is not null").select("collection", "id", F.transform("ids", lambda _: F.col("same")).alias("d"), F.col("ids").alias("b"), "_n")
+    lists = found.withColumn("_n", F.lit(None).cast("long")).unionByName(own).groupBy("collection", "id")
+    near = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("d", "b")))))
+    merged = lists.agg(near.alias("near"), F.max("_n").alias("_n"))
+    return merged.select("collection", "id", F.slice("near", F.lit(1), F.when(F.col("_n").isNull(), F.lit(k)).otherwise(F.lit(k + 1))).alias("near"), "_n")
 
 
 def usable(vectors: DataFrame, collections: DataFrame) -> DataFrame:
@@ -168,36 +275,30 @@ def usable(vectors: DataFrame, collections: DataFrame) -> DataFrame:
     return v.filter((F.size("emb") == F.col("_dim")) & F.col("space").isin("l2", "cosine", "ip") & ~bad & F.exists("emb", lambda x: x != 0)).drop("_dim")
 
 
-def nearest_pairs(vectors: DataFrame, collections: DataFrame, k: int = 5, rerank: int = RERANK, posts: int = POSTS) -> DataFrame:
+def nearest_pairs(vectors: DataFrame, collections: DataFrame, k: int = 5, per_root: float = RERANK_PER_ROOT, posts: int = POSTS, block: int = BLOCK) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b: pairs of one collection of which at least one is among the other's ``k`` nearest.
 
     Distances are rounded to 6 decimals, ties go to the smaller id, no vector is its own neighbour, repeated vectors take
-    part with their own ids. Empty tables give an empty result. Collections with fewer vectors give what there is.
+    part with their own ids; a row that is repeated with its id counts once. Empty tables give an empty result. Collections
+    with fewer vectors give what there is.
     """
     rows = usable(vectors, collections).withColumns({"h1": F.xxhash64("emb"), "h2": F.xxhash64(F.lit(1), F.col("emb"))})
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(vec=[np.asarray(v, np.float32).tobytes() for v in b["emb"]])[["collection", "space", "h1", "h2", "id", "vec"]]
-
-    packed = checkpointed(rows.mapInPandas(pack, "collection string, space string, h1 long, h2 long, id long, vec binary"))
     cls = ["collection", "h1", "h2"]
-    classes = checkpointed(packed.groupBy(*cls).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n"), F.first("space").alias("space"), F.first("vec").alias("vec")))
-    near = checkpointed(neighbour_lists(classes.select("collection", "space", F.col("rep").alias("id"), "vec"), k, rerank, posts))
-
-    # The first ids of every class of equal vectors; only of classes with copies are they looked for.
-    copies = counted_join(packed.select(*cls, "id"), classes.filter("_n > 1").select(*cls, "_n", "rep", "space", "vec"), cls, "_n", F.col("id"))
-    heads = top_n(checkpointed(copies.select("collection", "rep", "id")), ["collection", "rep"], [F.col("id").asc()], k + 1).groupBy("collection", "rep").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
-    heads = checkpointed(classes.select("collection", "rep", "_n", *cls[1:], "space", "vec").join(heads, ["collection", "rep"], "left").withColumn("_ids", F.coalesce("_ids", F.array("rep"))))
-
-    # Candidates of a class: its own first ids and those of the classes near it.
-    hops = near.select("collection", F.col("id").alias("rep"), F.explode("near").alias("_x")).select("collection", "rep", F.col("_x.d").alias("d"), F.col("_x.b").alias("_b"))
-    other = hops.join(heads.select("collection", F.col("rep").alias("_b"), "_ids"), ["collection", "_b"]).select("collection", "rep", F.transform("_ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("b"))).alias("_c"))
-    length = F.udf(lambda v: float((np.frombuffer(v, np.float32).astype(float) ** 2).sum()), "double")
-    own = heads.filter("_n > 1").withColumn("_d", F.when(F.col("space") == "ip", F.round(1 - length("vec"), 6)).otherwise(0.0))
-    own = own.select("collection", "rep", F.transform("_ids", lambda i: F.struct(F.col("_d").alias("d"), i.alias("b"))).alias("_c"))
-    lists = other.unionByName(own).groupBy("collection", "rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_c"))), 1, k + 1).alias("_c"))
-    lists = checkpointed(heads.select(*cls, "_n", "rep").join(lists, ["collection", "rep"]).select(*cls, "_n", "_c"))
-    members = counted_join(packed.select(*cls, "id"), lists, cls, "_n", F.col("id"))
-    pairs = members.select("id", F.explode(F.slice(F.filter("_c", lambda s: s["b"] != F.col("id")), 1, k)).alias("_x"))
+    classes = checkpointed(rows.groupBy(*cls).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")))
+    sizes = checkpointed(classes.groupBy("collection").agg(F.count(F.lit(1)).alias("_n")))
+
+    # The members of every class of equal vectors, and its first ids. Most vectors have no copies and are left out here.
+    many = checkpointed(classes.filter("_n > 1"))
+    copies = checkpointed(lookup(rows.select(*cls, "id"), many, cls, "inner", salt=F.col("id")).select("collection", "rep", "_n", "id").dropDuplicates(["collection", "rep", "id"]))
+    heads = top_n(copies, ["collection", "rep"], [F.col("id").asc()], k + 1).groupBy("collection", "rep").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max("_n").alias("_n"))
+    tagged = lookup(rows, many.drop("_n"), cls, salt=F.col("id"))
+    first = lookup(tagged.filter("id = rep").dropDuplicates(["collection", "rep"]), checkpointed(heads), ["collection", "rep"], "inner").select("collection", "space", "id", "emb", "ids", "_n")
+    single = tagged.filter("rep is null").select("collection", "space", "id", "emb", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("_n"))
+
+    lists = checkpointed(neighbour_lists(single.unionByName(first), sizes, k, per_root, posts, block))
+    alone = lists.filter("_n is null").select("id", F.explode("near").alias("_x"))
+    groups = checkpointed(lists.filter("_n is not null").select("collection", F.col("id").alias("rep"), "near", "_n"))
+    members = counted_join(copies.drop("_n"), groups, ["collection", "rep"], "_n", F.col("id"))
+    each = members.select("id", F.explode(F.slice(F.filter("near", lambda s: s["b"] != F.col("id")), 1, k)).alias("_x"))
+    pairs = alone.unionByName(each).filter(F.col("_x.b") != F.col("id"))
     return pairs.select(F.least("id", "_x.b").alias("vec_a"), F.greatest("id", "_x.b").alias("vec_b")).distinct()
