@@ -1,7 +1,9 @@
 """Nested JSON records as flat node tables with interval labels.
 
 Every node of a record gets a pre-order and a post-order number from one depth-first traversal, so node ``a`` holds node ``b``
-exactly if ``a.pre < b.pre and b.post < a.post`` (same record). The tables of the node types are linked by these labels.
+exactly if ``a.pre < b.pre and b.post < a.post`` (same record). The tables of the node types are linked by these labels alone:
+no node knows its holder. Intervals of one level do not overlap, so the one that may hold a node is the last that begins
+before it, which one sweep in pre-order finds.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from json.decoder import scanstring
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed
 
-NODE_SCHEMA = "_doc_hash long, node_type string, pre long, post long, parent_pre long, level int, field string, pos int, attrs string"
+NODE_SCHEMA = "_doc_hash long, node_type string, pre long, post long, level int, field string, pos int, attrs string"
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?|true|false|null|-?Infinity|NaN")
 _WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
@@ -145,11 +147,11 @@ def _text(attrs: dict[str, Any]) -> str:
 
 
 def label_nodes(body: Any, root: str, types: Mapping[str, NodeType]) -> Iterator[tuple]:
-    """(type, pre, post, parent_pre, level, field, pos, attrs) of every typed node below ``body``, by one traversal."""
+    """(type, pre, post, level, field, pos, attrs) of every typed node below ``body``, by one traversal."""
     if not isinstance(body, dict):
         return
     clock = 0
-    stack: list[Any] = [(body, root, None, 0, None, None)]
+    stack: list[Any] = [(body, root, 0, None, None)]
     while stack:
         item = stack.pop()
         if item[0] is None:  # leaving a node
@@ -157,26 +159,26 @@ def label_nodes(body: Any, root: str, types: Mapping[str, NodeType]) -> Iterator
             yield (row[0], row[1], clock, *row[2:])
             clock += 1
             continue
-        node, kind, parent, level, at, pos = item
+        node, kind, level, at, pos = item
         t = types.get(kind, NodeType())
         below = {*t.lists, *t.objects}
         pre, clock = clock, clock + 1
         attrs = {k: v for k, v in node.items() if k not in below} if isinstance(node, dict) else {"value": node}
-        stack.append((None, (kind, pre, parent, level, at, pos, _text(attrs))))
+        stack.append((None, (kind, pre, level, at, pos, _text(attrs))))
         children = []
         if isinstance(node, dict):
             for f, child in t.lists.items():
                 v = node.get(f)
                 entries = v if isinstance(v, list) else [v] if isinstance(v, dict) else []
-                children += [(e if isinstance(e, dict) else {"value": e}, child, pre, level + 1, f, n) for n, e in enumerate(entries)]
+                children += [(e if isinstance(e, dict) else {"value": e}, child, level + 1, f, n) for n, e in enumerate(entries)]
             for f, child in t.objects.items():
                 if isinstance(node.get(f), dict):
-                    children.append((node[f], child, pre, level + 1, f, None))
+                    children.append((node[f], child, level + 1, f, None))
         stack.extend(reversed(children))
 
 
 def node_table(df: DataFrame, doc: str, body: str, root: str, types: Mapping[str, NodeType]) -> DataFrame:
-    """One row per node: doc, _doc_hash, node_type, pre, post, parent_pre, level, field, pos, attrs (JSON of the other fields).
+    """One row per node: doc, _doc_hash, node_type, pre, post, level, field, pos, attrs (JSON of the other fields).
 
     Null, empty and unreadable bodies and bodies that are no object give no rows. Repeated rows (same doc and body) count
     once; the same doc with another body is a record of its own (``_doc_hash`` tells them apart). Entries of a list that
@@ -208,21 +210,25 @@ def node_table(df: DataFrame, doc: str, body: str, root: str, types: Mapping[str
 
 def _frame(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
     f = pd.DataFrame(rows, columns=list(names), dtype=object)
-    return f.astype({"parent_pre": "Int64", "pos": "Int32", "pre": "int64", "post": "int64", "level": "int32", "_doc_hash": "int64"})
+    return f.astype({"pos": "Int32", "pre": "int64", "post": "int64", "level": "int32", "_doc_hash": "int64"})
 
 
 def inside(children: DataFrame, parents: DataFrame, doc: str, how: str = "inner") -> DataFrame:
-    """``children`` joined with the columns of the ``parents`` rows that directly hold them.
+    """``children`` with the further columns of the ``parents`` rows that directly hold them, by interval containment.
 
-    ``parents`` has doc, _doc_hash, pre, post and further columns, which must not clash with those of ``children``. The
-    join key is the label of the direct holder; the intervals must nest.
+    Both have doc, _doc_hash, pre, post and level; the further columns of ``parents`` must not clash with those of
+    ``children``. Of the parents one level above a child only the last to begin before it can hold it, and does if it ends
+    after it. A child without such a parent is left out (``inner``) or has nulls (``left``). A record's rows are swept in one
+    task, as a running last value: no list of them is built, and a record was one row before.
     """
-    p = parents.withColumnsRenamed({c: f"_p_{c}" for c in (doc, "_doc_hash", "pre", "post")})
-    cond = (
-        F.col(doc).eqNullSafe(F.col(f"_p_{doc}"))
-        & (F.col("_doc_hash") == F.col("_p__doc_hash"))
-        & (F.col("parent_pre") == F.col("_p_pre"))
-        & (F.col("_p_pre") < F.col("pre"))
-        & (F.col("post") < F.col("_p_post"))
-    )
-    return children.join(p, cond, how).drop(*[f"_p_{c}" for c in (doc, "_doc_hash", "pre", "post")])
+    label = [doc, "_doc_hash"]
+    more = [c for c in parents.columns if c not in (*label, "pre", "post", "level")]
+    p = parents.select(*label, F.col("level").alias("_at"), F.col("pre").alias("_pre"), F.struct("pre", "post", *more).alias("_holder"))
+    c = children.select(*label, (F.col("level") - 1).alias("_at"), F.col("pre").alias("_pre"), F.struct(*children.columns).alias("_child"))
+    both = p.unionByName(c, allowMissingColumns=True)
+    sweep = Window.partitionBy(*label, "_at").orderBy("_pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("_holder", F.last("_holder", ignorenulls=True).over(sweep)).filter("_child is not null")
+    holds = (F.col("_holder.pre") < F.col("_child.pre")) & (F.col("_child.post") < F.col("_holder.post"))
+    if how == "inner":
+        swept = swept.filter(holds)
+    return swept.select("_child.*", *[F.when(holds, F.col(f"_holder.{m}")).alias(m) for m in more])

@@ -50,6 +50,16 @@ def _snapshot_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return node_table(table(spark, sf, "snapshot_files"), "snapshot_no", "body", "snapshot", SNAPSHOT_TYPES)
 
 
+#: Columns by which nodes are linked.
+LABEL = ("snapshot_no", "_doc_hash", "pre", "post", "level")
+
+
+def _held(nodes: DataFrame, kind: str, holder: str, how: str = "inner") -> DataFrame:
+    """Nodes of one kind with ``parent_pre``, the label of the node of kind ``holder`` that directly holds them."""
+    holders = nodes.filter(F.col("node_type") == holder).select(*LABEL, F.col("pre").alias("parent_pre"))
+    return inside(nodes.filter(F.col("node_type") == kind), holders, "snapshot_no", how)
+
+
 def _attr(name: str):
     return F.get_json_object("attrs", f"$.{name}")
 
@@ -57,31 +67,32 @@ def _attr(name: str):
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Who lists whom: every entry of a fragments or snapshots array with the path of the listing snapshot."""
     nodes = _snapshot_nodes(spark, sf)
-    pointers = nodes.filter("node_type = 'pointer'").select("snapshot_no", "_doc_hash", "pre", "post", _attr("path_to_snapshot").alias("_hangs_under"))
-    snapshots = nodes.filter("node_type = 'snapshot'").select("snapshot_no", "_doc_hash", "pre", "post", "parent_pre", _attr("path").alias("_path"))
-    listing = inside(snapshots, pointers, "snapshot_no", "left").select("snapshot_no", "_doc_hash", "pre", "post", F.coalesce("_path", "_hangs_under").alias("parent_path"))
-    entries = nodes.filter("node_type <> 'snapshot'").withColumn("child_path", F.coalesce(F.when(F.col("node_type") == "fragment", _attr("path")).otherwise(_attr("path_to_snapshot")), F.lit("")))
+    pointers = nodes.filter("node_type = 'pointer'").select(*LABEL, _attr("path_to_snapshot").alias("_hangs_under"))
+    snapshots = nodes.filter("node_type = 'snapshot'").select(*LABEL, _attr("path").alias("_path"))
+    listing = inside(snapshots, pointers, "snapshot_no", "left").select(*LABEL, F.coalesce("_path", "_hangs_under").alias("parent_path"))
+    child_path = F.coalesce(F.when(F.col("node_type") == "fragment", _attr("path")).otherwise(_attr("path_to_snapshot")), F.lit(""))
+    entries = nodes.filter("node_type <> 'snapshot'").select(*LABEL, "field", "pos", child_path.alias("child_path"))
     found = inside(entries, listing, "snapshot_no")
     return found.select("snapshot_no", "parent_path", F.col("field").alias("child_array"), F.col("pos").alias("child_pos"), "child_path").distinct()
 
 
 def p7_fragments(spark: SparkSession, sf: str) -> DataFrame:
     """Flat table of fragments, with the label of the snapshot that lists them."""
-    n = _snapshot_nodes(spark, sf).filter("node_type = 'fragment'")
+    n = _held(_snapshot_nodes(spark, sf), "fragment", "snapshot")
     longs = {"start_offset": "start.offset", "limit_offset": "limit.offset", "num_bytes": "num_bytes", "seq_no": "seq_no"}
     return n.select("snapshot_no", "pre", "post", "parent_pre", "pos", _attr("path").alias("path"), *[_attr(p).try_cast("long").alias(c) for c, p in longs.items()], _attr("fragment_id.uuid").alias("fragment_uuid"), _attr("setsum").alias("setsum"))
 
 
 def p7_pointers(spark: SparkSession, sf: str) -> DataFrame:
     """Flat table of pointers to snapshots."""
-    n = _snapshot_nodes(spark, sf).filter("node_type = 'pointer'")
+    n = _held(_snapshot_nodes(spark, sf), "pointer", "snapshot")
     longs = {"start_offset": "start.offset", "limit_offset": "limit.offset", "num_bytes": "num_bytes", "depth": "depth"}
     return n.select("snapshot_no", "pre", "post", "parent_pre", "pos", _attr("path_to_snapshot").alias("path_to_snapshot"), *[_attr(p).try_cast("long").alias(c) for c, p in longs.items()], _attr("setsum").alias("setsum"))
 
 
 def p7_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Flat table of snapshots, at any depth."""
-    n = _snapshot_nodes(spark, sf).filter("node_type = 'snapshot'")
+    n = _held(_snapshot_nodes(spark, sf), "snapshot", "pointer", "left")
     return n.select("snapshot_no", "pre", "post", "parent_pre", "level", _attr("path").alias("path"), _attr("depth").try_cast("long").alias("depth"), _attr("setsum").alias("setsum"), _attr("writer").alias("writer"))
 
 
@@ -99,6 +110,21 @@ _ROWS = """
     eff AS (SELECT * FROM gen WHERE g IS NOT NULL AND (seq = g OR seq > g AND op IN ('update', 'upsert')))
 """
 
+# Nodes by their place (field and position at every step); the labels follow from the order of the places and the nodes below.
+_NODES = """
+    files AS (SELECT DISTINCT snapshot_no, body FROM snapshot_files WHERE body <> '' AND json_valid(body)),
+    docs AS (SELECT row_number() OVER () AS d, snapshot_no, body::JSON AS b FROM files),
+    node AS (SELECT d, snapshot_no, 'snapshot' AS kind, []::INTEGER[] AS place, NULL::INTEGER AS pos, b AS e FROM docs WHERE json_type(b) = 'OBJECT'
+      UNION ALL
+      SELECT d, snapshot_no, kind, list_concat(place, [f, i::INTEGER - 1]), CASE WHEN kind <> 'snapshot' THEN i::INTEGER - 1 END, es[i]
+      FROM (SELECT *, unnest(range(1, len(es) + 1)) AS i
+        FROM (SELECT n.d, n.snapshot_no, v.kind, n.place, v.f, CASE json_type(e, '$.' || name) WHEN 'ARRAY' THEN CASE WHEN v.kind <> 'snapshot' THEN (e->name)::JSON[] END WHEN 'OBJECT' THEN [e->name] END AS es
+          FROM node n JOIN (VALUES ('fragment', 'fragments', 0, 'snapshot'), ('pointer', 'snapshots', 1, 'snapshot'), ('snapshot', 'snapshot', 0, 'pointer')) v(kind, name, f, above) ON n.kind = v.above))),
+    below AS (SELECT d, place[1 : 2 * k] AS place, count(*) AS size FROM (SELECT d, place, unnest(range(0, len(place) // 2 + 1)) AS k FROM node) GROUP BY ALL),
+    label AS (SELECT n.*, 2 * (row_number() OVER (PARTITION BY n.d ORDER BY n.place) - 1) - len(n.place) // 2 AS pre, len(n.place) // 2 AS level, b.size FROM node n JOIN below b ON n.d = b.d AND n.place = b.place),
+    held AS (SELECT c.snapshot_no, c.kind, c.pre, c.pre + 2 * c.size - 1 AS post, p.pre AS parent_pre, c.level, c.pos, c.e FROM label c LEFT JOIN label p ON c.d = p.d AND len(c.place) > 0 AND p.place = c.place[1 : len(c.place) - 2])
+"""
+
 SQL = {
     "p1_found": """
     WITH s AS (SELECT log_id, start_offset AS a, max(limit_offset) AS b FROM manifest_spans WHERE start_offset < limit_offset GROUP BY ALL),
@@ -132,4 +158,18 @@ SQL = {
     SELECT DISTINCT snapshot_no, path AS parent_path, f AS child_array, pos::INTEGER AS child_pos,
       coalesce(CASE f WHEN 'fragments' THEN e->>'path' ELSE e->>'path_to_snapshot' END, '') AS child_path FROM one
     """,
+    "p7_fragments": f"""
+    WITH RECURSIVE {_NODES}
+    SELECT snapshot_no, pre, post, parent_pre, pos, e->>'path' AS path, try_cast(e->'start'->>'offset' AS BIGINT) AS start_offset, try_cast(e->'limit'->>'offset' AS BIGINT) AS limit_offset,
+      try_cast(e->>'num_bytes' AS BIGINT) AS num_bytes, try_cast(e->>'seq_no' AS BIGINT) AS seq_no, e->'fragment_id'->>'uuid' AS fragment_uuid, e->>'setsum' AS setsum FROM held WHERE kind = 'fragment'
+    """,
+    "p7_pointers": f"""
+    WITH RECURSIVE {_NODES}
+    SELECT snapshot_no, pre, post, parent_pre, pos, e->>'path_to_snapshot' AS path_to_snapshot, try_cast(e->'start'->>'offset' AS BIGINT) AS start_offset,
+      try_cast(e->'limit'->>'offset' AS BIGINT) AS limit_offset, try_cast(e->>'num_bytes' AS BIGINT) AS num_bytes, try_cast(e->>'depth' AS BIGINT) AS depth, e->>'setsum' AS setsum FROM held WHERE kind = 'pointer'
+    """,
+    "p7_snapshots": f"""
+    WITH RECURSIVE {_NODES}
+    SELECT snapshot_no, pre, post, parent_pre, level, e->>'path' AS path, try_cast(e->>'depth' AS BIGINT) AS depth, e->>'setsum' AS setsum, e->>'writer' AS writer FROM held WHERE kind = 'snapshot'
+    """,
 }

@@ -9,7 +9,7 @@ from lodestrata.queries.records import SNAPSHOT_TYPES
 def test_deep_bodies_parse_without_recursion():
     deep = '{"snapshots":[{"snapshot":' * 40_000 + '{"path":"end"}' + "}]}" * 40_000
     nodes = list(label_nodes(parse_json(deep), "snapshot", SNAPSHOT_TYPES))
-    assert len(nodes) == 80_001 and max(n[4] for n in nodes) == 80_000
+    assert len(nodes) == 80_001 and max(n[3] for n in nodes) == 80_000
 
 
 def test_own_parser_agrees_with_the_library():
@@ -33,13 +33,26 @@ def test_labels_nest_and_link(spark):
     assert len(got) == 8 and len({x for r in got for x in (r["pre"], r["post"])}) == 16
     for r in got:
         holders = [p for p in got if p["pre"] < r["pre"] and r["post"] < p["post"]]
-        assert len(holders) == r["level"] and (not holders or max(p["pre"] for p in holders) == r["parent_pre"])
-    parents = nodes.filter("node_type = 'snapshot'").select("doc", "_doc_hash", "pre", "post", nodes.attrs.alias("holder"))
+        assert len(holders) == r["level"]
+    for kind, above in (("fragment", "snapshot"), ("pointer", "snapshot"), ("snapshot", "pointer")):
+        above_rows = nodes.filter(f"node_type = '{above}'").select("doc", "_doc_hash", "pre", "post", "level", nodes.pre.alias("up"))
+        for r in inside(nodes.filter(f"node_type = '{kind}'"), above_rows, "doc", "left").filter("doc = 1").collect():
+            assert r["up"] == max((p["pre"] for p in got if p["pre"] < r["pre"] and r["post"] < p["post"]), default=None)
+    parents = nodes.filter("node_type = 'snapshot'").select("doc", "_doc_hash", "pre", "post", "level", nodes.attrs.alias("holder"))
     linked = inside(nodes.filter("node_type = 'fragment'"), parents, "doc")
     assert [(r[0], r[1]) for r in sorted(rows(linked.filter("doc = 1").select("field", "pos")))] == [("fragments", 0), ("fragments", 0), ("fragments", 1), ("fragments", 2)]
     assert linked.filter("doc is null").count() == 1
 
 
+def test_a_node_of_another_type_one_level_up_does_not_hold(spark):
+    cols = "doc int, _doc_hash long, pre long, post long, level int"
+    nodes = spark.createDataFrame([(1, 0, 0, 9, 0), (1, 0, 1, 2, 1), (1, 0, 3, 6, 1), (1, 0, 4, 5, 2)], cols)
+    first = nodes.filter("pre = 1").withColumn("name", nodes.pre)
+    assert inside(nodes.filter("pre = 4"), first, "doc").count() == 0
+    assert inside(nodes.filter("pre = 4"), first, "doc", "left").first()["name"] is None
+    assert inside(nodes.filter("pre in (1, 3)"), nodes.filter("pre = 0").withColumn("name", nodes.post), "doc").count() == 2
+
+
 def test_empty(spark):
     assert node_table(spark.createDataFrame([], "doc int, b string"), "doc", "b", "snapshot", SNAPSHOT_TYPES).count() == 0
 
