@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -10,7 +10,7 @@ from .encoding import repairs
 from .hits import first_wanted, grouped_top_k
 from .mix import mix_sources
 from .neighbours import nearest_pairs
-from .split import split_corpus
+from .split import BOUNDARY, LIMIT, OVERLAP, split_corpus
 from .tokens import decode_corpus, encode_corpus
 
 
@@ -31,7 +31,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts that are split, and whether a stretch had to be cut by force."""
-    return split_corpus(table(spark, sf, "documents"), "doc_id", "text").filter("piece = 0").select("doc_id", "forced").distinct()
+    return split_corpus(table(spark, sf, "documents"), "doc_id", "text").filter("piece = 1").select("doc_id", "forced").distinct()
 
 
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,6 +39,23 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p6_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each split text come to: the text put together again, and cuts, overlaps and lengths as they must be."""
+    pieces = split_corpus(table(spark, sf, "documents"), "doc_id", "text").repartition("doc_id")
+    before = Window.partitionBy("doc_id").orderBy("piece")
+    p = pieces.withColumn("_shared", F.coalesce(F.lag("end").over(before) - F.col("start"), F.lit(0)))
+    p = p.withColumn("_new", F.expr("substring(body, _shared + 1)")).withColumn("_last", F.expr("substring(lag(body) over (partition by doc_id order by piece), -1)"))
+    natural = F.col("_last").isNull() | (F.col("cut") == "forced") | F.instr(F.lit(BOUNDARY), F.col("_last")).cast("boolean")
+    alike = F.col("piece").eqNullSafe(0) | (F.col("_shared") == OVERLAP)
+    return p.groupBy("doc_id").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "_new"))), lambda s: s["_new"]), "")).alias("text_md5"),
+        F.max("forced").alias("forced"),
+        (F.max(F.length("body")) <= LIMIT).alias("within_limit"),
+        F.every(alike).alias("overlaps"),
+        F.every(natural).alias("natural_cuts"),
+    )
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every text."""
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
@@ -69,7 +86,7 @@ def p10_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return repairs(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.size("spans").alias("n_spans"), "spans", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p6_pieces, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_repairs)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p6_pieces, p6_whole, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_repairs)}
 
 _FIELD = "CASE {key} " + " ".join(f"WHEN '{'#score' if c == 'score' else c}' THEN {c}::DOUBLE" for c in ("score", "pub_year", "priority", "leaf_dense", "leaf_sparse", "leaf_age", "leaf_clicks", "offset_id", "shard_index")) + " END"
 
@@ -90,5 +107,11 @@ SQL = {
     SELECT DISTINCT doc_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\n\r.!?。！？]'), lambda w: length(w))) > 1200 THEN 1 ELSE 0 END AS forced
     FROM documents WHERE length(text) > 1200
     """,
+    "p6_whole": r"""
+    SELECT doc_id, md5(text) AS text_md5,
+      CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\n\r.!?。！？]'), lambda w: length(w))) > 1200 THEN 1 ELSE 0 END AS forced,
+      true AS within_limit, true AS overlaps, true AS natural_cuts
+    FROM documents WHERE length(text) > 1200
+    """,
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

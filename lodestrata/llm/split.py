@@ -79,19 +79,24 @@ LEVELS: tuple[tuple[str, Callable[[str, int, int], list[Span]]], ...] = (
 )
 
 
-def pack(text: str, a: int, b: int, budget: int, level: int = 0) -> list[tuple[int, int, str]]:
-    """(start, end, kind of the cut at the start) of units of at most ``budget`` characters that tile the span."""
+def pack(text: str, a: int, b: int, budget: int, level: int = 0, whole: list[Span] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind of the cut at the start) of units of at most ``budget`` characters that tile the span.
+
+    Nodes of the lowest level that have to be descended into, where no natural boundary is left, are added to ``whole``.
+    """
     if b - a <= budget:
         return [(a, b, "")]
     if level == len(LEVELS):
+        if whole is not None:
+            whole.append((a, b))
         return [(s, min(s + budget, b), "forced" if s > a else "") for s in range(a, b, budget)]
     name, fall = LEVELS[level]
     parts = fall(text, a, b)
     if len(parts) == 1:
-        return pack(text, a, b, budget, level + 1 if name != "section" else SECTIONS)
+        return pack(text, a, b, budget, level + 1 if name != "section" else SECTIONS, whole)
     units: list[tuple[int, int, str]] = []
     for s, e in parts:
-        for u, v, kind in pack(text, s, e, budget, level + 1):
+        for u, v, kind in pack(text, s, e, budget, level + 1, whole):
             if units and v - units[-1][0] <= budget:
                 units[-1] = (units[-1][0], v, units[-1][2])
             else:
@@ -100,33 +105,36 @@ def pack(text: str, a: int, b: int, budget: int, level: int = 0) -> list[tuple[i
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """Pieces (start, end, kind of the cut before the new part) of at most ``limit`` characters.
+    """Pieces (start, end, kind of the cut before the new part) of at most ``limit`` characters; see ``split_tree``."""
+    return split_tree(text, limit, overlap)[0]
+
+
+def split_tree(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, str]], bool]:
+    """Pieces (start, end, kind of the cut before the new part), and whether the tree has a word of more than ``limit`` characters.
 
     Each piece begins ``overlap`` characters before the end of the previous one, so it has at most ``limit - overlap`` new
     characters. A text within the limit is one piece. ``kind`` is empty for the first piece and ``forced`` where no boundary
-    character stood in reach.
+    character stood in reach: in words above ``limit - overlap``. Words above ``limit``, which would not fit a piece of their
+    own either, are the lowest nodes that the packing had to descend into.
     """
     if len(text) <= limit:
-        return [(0, len(text), "")]
-    units = pack(text, 0, len(text), limit - overlap)
+        return [(0, len(text), "")], False
+    whole: list[Span] = []
+    units = pack(text, 0, len(text), limit - overlap, 0, whole)
+    oversized = any(len(text[a:b].rstrip(BOUNDARY)) > limit for a, b in whole)
     if units[0][1] < overlap:  # the first piece must be able to share its end: it takes what it can of the second
         stop = units[1][1] if units[1][1] <= limit else limit
         cut = max((m.end() for m in regex.finditer(rf"[{regex.escape(BOUNDARY)}]", text[:stop]) if m.end() >= overlap), default=stop)
         rest = [] if cut == units[1][1] else [(cut, units[1][1], "word" if text[cut - 1] in BOUNDARY else "forced")]
         units = [(0, cut, ""), *rest, *units[2:]]
-    return [(max(0, s - overlap), e, kind) for s, e, kind in units]
-
-
-def long_stretch(text: str, limit: int = LIMIT) -> bool:
-    """Whether some node at the lowest level of the tree, without its boundary characters, exceeds the limit."""
-    return any(m.end() - m.start() > limit and len(m.group().rstrip(BOUNDARY)) > limit for m in _WORD.finditer(text))
+    return [(max(0, s - overlap), e, kind) for s, e, kind in units], oversized
 
 
 def split_corpus(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(key, piece, start, end, cut, forced, body): the pieces of every text above ``limit`` characters.
 
-    ``piece`` counts from 0; ``start`` and ``end`` are code points; ``forced`` is 1 on all pieces of a text that has a
-    stretch of more than ``limit`` characters without a boundary character. Null, empty and short texts have no rows;
+    ``piece`` counts from 0; ``start`` and ``end`` are code points; ``forced`` is 1 on all pieces of a text whose tree
+    has a word, a stretch without a boundary character, of more than ``limit`` characters. Null, empty and short texts have no rows;
     repeated rows stay; further columns are not read. Texts of any length are split whole, in time linear in their length.
     """
     slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > limit))
@@ -136,8 +144,8 @@ def split_corpus(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap
         names = ["k", "piece", "start", "end", "cut", "forced", "body"]
         for b in batches:
             for n, t in enumerate(b.column(1).to_pylist()):
-                pieces = split_text(t, limit, overlap)
-                forced = int(long_stretch(t, limit))
+                pieces, oversized = split_tree(t, limit, overlap)
+                forced = int(oversized)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array([n] * len(pieces), pa.int64())),

@@ -1,7 +1,8 @@
-"""Encoding of whole corpora with a public byte-level BPE vocabulary.
+"""Encoding and decoding of whole corpora with a public byte-level BPE vocabulary.
 
 Each partition is encoded by recursive queries of an in-process DuckDB: the rows (word, position, token) of all distinct words
-join the merge table, every word contracts its minimum-rank pair from the left, until no word changes. The vocabulary file (a
+join the merge table, every word contracts its minimum-rank pair from the left, until no word changes. Decoding joins the rows (text, position, token) with
+the vocabulary and aggregates the symbols of each text in the order of their positions. The vocabulary file (a
 few MB, whatever the corpus) is read by the driver and broadcast.
 """
 
@@ -46,6 +47,12 @@ WITH RECURSIVE st(w, toks) USING KEY (w) AS (
 SELECT w, toks FROM st
 """
 
+#: Symbols of every text of ``lists`` (d, toks), and how many of its tokens are unknown.
+JOIN_SYMBOLS = """
+SELECT t.d, coalesce(string_agg(v.symbols, '' ORDER BY t.i), '') AS symbols, count(*) FILTER (v.symbols IS NULL) AS unknown
+FROM (SELECT d, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM lists) t LEFT JOIN vocabulary v ON t.tok = v.id GROUP BY t.d
+"""
+
 
 def byte_symbols() -> dict[str, int]:
     """Symbol -> byte of the public byte-level format: printable bytes stand for themselves, the others follow from 256 on."""
@@ -64,12 +71,16 @@ class Encoder:
         self.first = np.zeros(256, np.int32)
         for s, b in symbols.items():
             self.first[b] = vocab[s]
-        self.bytes_of = {i: bytes(symbols[c] for c in s) for s, i in vocab.items() if all(c in symbols for c in s)}
+        plain = {i: s for s, i in vocab.items() if all(c in symbols for c in s)}
+        self.byte_of = str.maketrans({s: chr(b) for s, b in symbols.items()})
         table = pa.table({"l": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "r": pa.array([vocab[b] for _, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "id": pa.array([vocab[a + b] for a, b in pairs], pa.int32())})
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.con.register("given", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        self.con.register("given", pa.table({"id": pa.array(plain.keys(), pa.int32()), "symbols": pa.array(plain.values(), pa.string())}))
+        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+        self.con.unregister("given")
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
 
@@ -96,9 +107,18 @@ class Encoder:
             self.learn(new)
         return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of the ids."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
+    def decode(self, lists: list[list[int] | None]) -> list[str | None]:
+        """Text of each id list, null for null; ValueError for an id that is no ordinary token."""
+        given = pa.table({"d": pa.array(range(len(lists)), pa.int32()), "toks": pa.array(lists, pa.list_(pa.int32()))})
+        self.con.register("lists", given)
+        out = self.con.sql(JOIN_SYMBOLS).fetchall()
+        self.con.unregister("lists")
+        texts: list[str | None] = [None if x is None else "" for x in lists]
+        for d, symbols, unknown in out:
+            if unknown:
+                raise ValueError(f"{unknown} unknown ids in a list")
+            texts[d] = symbols.translate(self.byte_of).encode("latin-1").decode(errors="replace")
+        return texts
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -111,10 +131,10 @@ def _encoder(shared) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None] | list[list[int] | None]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for n, t in enumerate(texts):
-        chars += len(t or "")
+        chars += len(t or ())
         if chars > SLICE_CHARS:
             yield start, n + 1
             start, chars = n + 1, 0
@@ -146,7 +166,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
 
 
 def decode_corpus(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, text): the texts of id lists; the bytes of the tokens are joined in order. Null lists give null."""
+    """(key, text): the texts of id lists; the symbols of the tokens are joined in order. Null lists give null, empty ones the
+    empty text; an id that is no ordinary token of the vocabulary is an error."""
     with open(f"{folder}/{vocabulary}.json", encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     slim = df.select(F.col(key).alias("k"), F.col(ids).alias("i"))
@@ -156,7 +177,8 @@ def decode_corpus(df: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe
         enc = None
         for b in batches:
             enc = enc or _encoder(shared)
-            texts = [None if x is None else enc.decode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["k", "text"])
+            lists = b.column(1).to_pylist()
+            for i, j in _slices(lists):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(enc.decode(lists[i:j]), pa.string())], ["k", "text"])
 
     return slim.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -3,20 +3,20 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm.split import BOUNDARY, long_stretch, split_corpus, split_text
+from lodestrata.llm.split import BOUNDARY, split_corpus, split_tree
 
 PARTS = st.lists(st.sampled_from(["# Head\n\n", "## Sub\n", "word ", "A sentence. ", "- item\n", "1. first\n", "\n\n", "```\ncode  x\n\ny\n```\n", "長い文。", "x" * 70, "\r\n", "<h2>t</h2>\n", "é" * 30]), max_size=120)
 
 
 def check(text, limit, overlap):
-    p = split_text(text, limit, overlap)
+    p, oversized = split_tree(text, limit, overlap)
     assert p[0][0] == 0 and p[-1][1] == len(text)
     for a, b in zip(p, p[1:]):
         assert b[0] == a[1] - overlap and b[1] > a[1]
         assert b[2] == "forced" or text[a[1] - 1] in BOUNDARY
     assert all(e - s <= limit for s, e, _ in p)
     assert text[: p[0][1]] + "".join(text[a[1] : b[1]] for a, b in zip(p, p[1:])) == text
-    assert long_stretch(text, limit) == bool(re.search(rf"[^{re.escape(BOUNDARY)}]{{{limit + 1},}}", text))
+    assert oversized == bool(re.search(rf"[^{re.escape(BOUNDARY)}]{{{limit + 1},}}", text))
 
 
 @settings(max_examples=200, deadline=None)
@@ -29,13 +29,15 @@ def test_pieces_tile_overlap_and_cut_at_boundaries(parts, size):
 
 def test_headings_and_blocks_are_preferred():
     text = "# A\n\n" + "alpha beta. " * 40 + "\n\n# B\n\n" + "gamma delta. " * 40
-    p = split_text(text, 700, 50)
+    p = split_tree(text, 700, 50)[0]
     assert [x[2] for x in p] == ["", "section"] and text[p[0][1] :].startswith("# B")
 
 
 def test_edges_of_the_limit_and_very_long_texts():
     check("x" * 5000, 1200, 120)
-    check("w" * 1200 + " " + "v" * 1201, 1200, 120)
+    for n in (1080, 1081, 1200, 1201):
+        check("w" * 1200 + " " + "v" * n + ". ", 1200, 120)
+        check("- " + "v" * n + "\n\n# h\n" + "w " * 900, 1200, 120)
     check("\n" * 4000, 1200, 120)
     check("# t\n" + "y" * 3000, 1200, 120)
     check(("word " * 12 + "\n") * 8000, 1200, 120)

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -15,7 +16,7 @@ LIB.encode_special_tokens = True
 def test_ids_equal_the_library_and_decode_back(texts):
     got = ENC.encode(texts)
     assert got == [e.ids for e in LIB.encode_batch(texts, add_special_tokens=False)]
-    assert [ENC.decode(g) for g in got] == texts
+    assert ENC.decode(got) == texts
 
 
 def test_special_strings_long_words_and_runs():
@@ -23,6 +24,12 @@ def test_special_strings_long_words_and_runs():
     assert ENC.encode(texts) == [e.ids for e in LIB.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_decoding_keeps_nulls_and_repeats_and_refuses_unknown_ids():
+    assert ENC.decode([None, [], [31373], [31373], [220, 220]]) == [None, "", "hello", "hello", "  "]
+    with pytest.raises(ValueError):
+        ENC.decode([[31373, 10**8]])
+
+
 def test_corpus(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 4), (2, " ", 4), (None, "hello hello", 5)], "doc_id long, text string, ids int").drop("ids")
     got = encode_corpus(df, "doc_id", "text")
