@@ -6,7 +6,7 @@ text which the inverse transform gives back, under the same character bigram mod
 the transform cannot have made are impossible there. Entering a pair's state costs, staying does not, so evidence adds up
 across a document; the Viterbi path gives the labels, and each labelled span its state's inverse transform.
 
-The bigram model is counted over all documents, in two rounds: the second leaves out the documents in which the first finds a
+The bigram model is counted over all documents, in two rounds: the second takes off the documents in which the first finds a
 likely span, so that damage that is common in the corpus does not count as clean. Its tables have a fixed number of buckets.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,11 @@ PAIRS: tuple[tuple[str, ...], ...] = (
 )
 #: Encodings of several bytes a character, among those that texts are read in.
 MULTIBYTE = ("gbk", "cp932", "big5", "euc_kr")
+#: Results that a Python worker keeps, of each kind.
+KEPT = 400_000
 #: Stretches: non-ASCII characters, single ASCII ones between them included (second bytes of some encodings are ASCII).
 STRETCH = regex.compile(r"[^\x00-\x7f]+(?:[!-~][^\x00-\x7f]+)*")
+NOT_ASCII = r"[^\x00-\x7f]"
 LOST = "�"
 
 
@@ -105,6 +109,11 @@ def buckets(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64) % PAIR_BUCKETS
 
 
+def bucket(before: int, after: int) -> int:
+    """As ``buckets``, of one pair."""
+    return ((before * 0x9E3779B97F4A7C15 + after * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) >> 44) % PAIR_BUCKETS
+
+
 def count_text(texts: list[str], pairs: np.ndarray, chars: np.ndarray) -> None:
     """Add the texts' characters, and their pairs with a non-ASCII member, to the counts. A line feed stands between texts."""
     cp = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
@@ -123,7 +132,9 @@ class Model:
 
     def __post_init__(self) -> None:
         self.total = float(self.chars.sum()) + 1.0
-        self.seen: dict[tuple[str, str, str], tuple | None] = {}
+        self.seen: dict[tuple[str, str, str], dict[int, float] | None] = {}
+        self.made: dict[str, list[tuple[int, str]]] = {}
+        self.logs: dict[str, float] = {}
 
     def score(self, text: str) -> float:
         """Log probability of the characters after the first, each given the one before; capitals may count as small."""
@@ -131,14 +142,23 @@ class Model:
         return self._score(text) if low == text else max(self._score(text), self._score(low) - CAPITALS)
 
     def _score(self, text: str) -> float:
-        cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        a, b = cp[:-1], cp[1:]
-        ctrl = ((b >= 128) & (b < 160)) | (b == 0xFFFD)
-        single = (self.chars[b % CHAR_BUCKETS] + np.where(ctrl, 1e-3, 0.05)) / self.total
-        base = self.chars[a % CHAR_BUCKETS]
-        weight = 2.0 + 0.02 * np.minimum(base, 500)
-        p = (np.where((a > 127) | (b > 127), self.pairs[buckets(a, b)], 0) + weight * single) / (base + weight)
-        return float(np.log(p).sum())
+        logs, total = self.logs, 0.0
+        for pair in map("".join, pairwise(text)):
+            v = logs.get(pair)
+            total += self._log(pair) if v is None else v
+        return total
+
+    def _log(self, pair: str) -> float:
+        """Log probability of the second character after the first, kept for the next time."""
+        a, b = map(ord, pair)
+        single = (float(self.chars[b % CHAR_BUCKETS]) + (1e-3 if 128 <= b < 160 or b == 0xFFFD else 0.05)) / self.total
+        base = float(self.chars[a % CHAR_BUCKETS])
+        weight = 2.0 + 0.02 * min(base, 500.0)
+        seen = float(self.pairs[bucket(a, b)]) if a > 127 or b > 127 else 0.0
+        if len(self.logs) > KEPT:
+            self.logs.clear()
+        v = self.logs[pair] = math.log((seen + weight * single) / (base + weight))
+        return v
 
     def undone(self, before: str, was: str, after: str) -> float:
         """Score of an inverse transform's result; what was lost counts a fixed amount."""
@@ -149,23 +169,32 @@ class Model:
         """Log-odds against the clean state of each pair that can have made the stretch; None if none is above 0."""
         key = (before, stretch, after)
         if key not in self.seen:
-            if len(self.seen) > 400_000:
-                self.seen = {}
+            if len(self.seen) > KEPT:
+                self.seen.clear()
             self.seen[key] = self._odds(*key)
         return self.seen[key]
 
+    def _made(self, stretch: str) -> list[tuple[int, str]]:
+        """The pairs that can have made the stretch, with what was written."""
+        if stretch not in self.made:
+            if len(self.made) > KEPT:
+                self.made.clear()
+            letters, out = set(stretch) - {LOST}, []
+            for k, undo in enumerate(UNDO):
+                if (undo.letters is not None and not letters <= undo.letters) or (undo.utf8 and len(stretch) < 2):
+                    continue
+                was = undo(stretch)
+                if was is not None and was != stretch and not (undo.utf8 and was.isascii()):
+                    out.append((k, was))
+            self.made[stretch] = out
+        return self.made[stretch]
+
     def _odds(self, before: str, stretch: str, after: str) -> dict[int, float] | None:
-        clean, out = None, {}
-        letters = set(stretch)
-        for k, undo in enumerate(UNDO):
-            if (undo.letters is not None and not letters - {LOST} <= undo.letters) or (undo.utf8 and len(stretch) < 2):
-                continue
-            was = undo(stretch)
-            if was is None or was == stretch or (undo.utf8 and was.isascii()):
-                continue
-            if clean is None:
-                clean = self.score(before + stretch + after)
-            out[k] = self.undone(before, was, after) - clean
+        made = self._made(stretch)
+        if not made:
+            return None
+        clean = self.score(before + stretch + after)
+        out = {k: self.undone(before, was, after) - clean for k, was in made}
         return out if any(v > 0 for v in out.values()) else None
 
     def label(self, text: str) -> list[tuple[int, int, int]]:
@@ -231,31 +260,36 @@ class Model:
         return "".join([*out, text[at:]])
 
 
-def _counts(df: DataFrame, text: str, shared=None) -> Model:
-    """Bigram model of all texts, or of those that the shared model does not find doubtful."""
+def _counts(df: DataFrame, text: str, shared=None) -> np.ndarray:
+    """Pair and character counts of all texts, or of those that the shared model finds doubtful (none is plain ASCII)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, chars = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(CHAR_BUCKETS, np.int64)
         model = Model(*shared.value) if shared else None
         for b in batches:
             texts = b.column(0).to_pylist()
-            count_text([t for t in texts if model is None or not model.doubtful(t)], pairs, chars)
+            count_text(texts if model is None else [t for t in texts if model.doubtful(t)], pairs, chars)
         both = np.concatenate([pairs, chars])
         at = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], ["bucket", "n"])
 
-    rows = spread(df.select(text).filter(F.col(text).isNotNull())).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    kept = F.col(text).isNotNull() if shared is None else F.col(text).rlike(NOT_ASCII)
+    rows = spread(df.select(text).filter(kept)).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = rows.toArrow()  # at most PAIR_BUCKETS + CHAR_BUCKETS rows
-    both = np.zeros(PAIR_BUCKETS + CHAR_BUCKETS, np.float64)
+    both = np.zeros(PAIR_BUCKETS + CHAR_BUCKETS, np.int64)
     both[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return Model(both[:PAIR_BUCKETS].astype(np.float32), both[PAIR_BUCKETS:].astype(np.float32))
+    return both
+
+
+def _tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return counts[:PAIR_BUCKETS].astype(np.float32), counts[PAIR_BUCKETS:].astype(np.float32)
 
 
 def fit(df: DataFrame, text: str) -> Model:
-    """The bigram model of the clean texts of ``df`` (two rounds over all of them)."""
-    first = _counts(df, text)
-    shared = df.sparkSession.sparkContext.broadcast((first.pairs, first.chars))
-    return _counts(df, text, shared)
+    """The bigram model of the clean texts of ``df``: counts of all of them, less those of the doubtful ones."""
+    counts = _counts(df, text)
+    shared = df.sparkSession.sparkContext.broadcast(_tables(counts))
+    return Model(*_tables(np.maximum(counts - _counts(df, text, shared), 0)))
 
 
 def repairs(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
@@ -267,7 +301,7 @@ def repairs(df: DataFrame, key: str, text: str, model: Model | None = None) -> D
     """
     model = model or fit(df, text)
     shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.chars))
-    slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]")))
+    slim = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").rlike(NOT_ASCII)))
     kind = slim.schema["k"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pair", pa.string()), ("original", pa.string())])
 
