@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed, range_chunks, row_numbers
 from ..plans.skew import counted_join, lookup
-from .topn import HEAVY_ROWS, tie_order, top_n
+from .topn import tie_order, top_n
 
 #: Columns of a hit that may group or be aggregated: as numbers, and as texts.
 NUMBERS = ("score", "pub_year", "priority", "leaf_dense", "leaf_sparse", "leaf_age", "leaf_clicks", "offset_id", "shard_index")
@@ -31,7 +31,7 @@ def _by_name(name: Column, columns: Sequence[str], cast: str) -> Column:
     return out
 
 
-def grouped_top_k(hits: DataFrame, searches: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def grouped_top_k(hits: DataFrame, searches: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """(search_id, offset_id, rank): the hits that each search's aggregate keeps per group.
 
     A record counts once per search, with its smallest score; records without any score and hits of unknown searches take no
@@ -123,7 +123,7 @@ def component(cov: np.ndarray, least: float) -> np.ndarray:
     return w
 
 
-def first_wanted(hits: DataFrame, searches: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def first_wanted(hits: DataFrame, searches: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """(search_id, offset_id, rank, key): the first ``want`` records of each search by ``component_ranking``."""
     keys = component_ranking(hits, "search_id", "offset_id", {"leaf_dense": False, "leaf_sparse": True, "leaf_age": False, "leaf_clicks": True})
     wants = searches.filter("want > 0").select("search_id", "want").dropDuplicates(["search_id"])

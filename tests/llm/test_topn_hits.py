@@ -91,3 +91,17 @@ def test_ranks_of_ties_nulls_and_constant_leaves(spark):
     df = spark.createDataFrame([("g", 1, 1.0, None, 5.0), ("g", 2, 1.0, 2.0, 5.0), ("g", 3, 3.0, 1.0, 5.0), (None, 4, None, None, None)], "g string, i int, a double, b double, c double")
     keys = {(r["g"], r["i"]): r["key"] for r in component_ranking(df, "g", "i", {"a": False, "b": True, "c": False}).collect()}
     assert len(keys) == 4 and keys[None, 4] == 0.0 and keys["g", 2] < keys["g", 1] and keys["g", 2] < keys["g", 3]
+
+
+def test_the_limit_of_light_groups_follows_the_rows():
+    from lodestrata.llm.topn import heavy_limit
+
+    assert [heavy_limit(n) for n in (0, 10_000, 1_000_000, 10**12)] == [2_000, 2_000, 5_000, 1_000_000]
+
+
+def test_hot_half_by_default(spark):
+    df = spark.range(9000).select((F.col("id") % 3 == 0).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"), "id")
+    out = top_n(df, ["g"], [F.col("v").asc(), F.col("id").asc()], 25)
+    assert "_chunk" in out._jdf.queryExecution().toString()
+    rows = sorted(df.collect(), key=lambda r: (r["v"], r["id"]))
+    assert sorted(r["id"] for r in out.collect()) == sorted(r["id"] for g in (True, False) for r in [x for x in rows if x["g"] == g][:25])
