@@ -26,10 +26,26 @@ DENSE_SHARE = 0.05
 
 
 def bm25_weights(docs: DataFrame, id: str, text: str, k: float = K1, b: float = B, mean_length: float = MEAN_LENGTH, stem: bool = True) -> DataFrame:
-    """(id, dim, weight): the saturated term frequency of each token of each text; null texts have none."""
-    toks = docs.select(F.col(id).alias("id"), T.tokens(F.col(text), stem).alias("_t")).filter("_t is not null").withColumn("_len", F.size("_t"))
-    tf = toks.select("id", "_len", F.explode("_t").alias("dim")).groupBy("id", "dim").agg(F.count(F.lit(1)).alias("_tf"), F.first("_len").alias("_len"))
-    return tf.select("id", "dim", (F.col("_tf") * (k + 1) / (F.col("_tf") + k * (1 - b + b * F.col("_len") / mean_length))).alias("weight"))
+    """(id, dim, weight): the saturated term frequency of each token of each text; null texts have none.
+
+    A text is one row, so its tokens are counted where they are, and nothing is shuffled. Each row is a record of its own.
+    """
+    toks = docs.select(F.col(id).alias("id"), T.tokens(F.col(text), stem).alias("_t")).filter("_t is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = lists.flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            width = len(terms.dictionary)
+            cells, tf = np.unique(np.repeat(np.arange(len(length)), length) * width + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = cells // width
+            weight = tf * (k + 1) / (tf + k * (1 - b + b * length[row] / mean_length))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms.dictionary.take(pa.array(cells % width)), pa.array(weight)], ["id", "dim", "weight"])
+
+    return toks.mapInArrow(count, f"id {toks.schema['id'].dataType.simpleString()}, dim string, weight double")
 
 
 def idf(postings: DataFrame, size: int | Column) -> DataFrame:

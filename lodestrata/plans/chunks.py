@@ -15,16 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+#: Local folders of sessions without a shared one.
+_LOCAL: dict[str, str] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder, so that lost executors and random partition bounds do no harm.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``, which all executors reach; only where that is unset (tests) a
+    local one is made, once a session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lodestrata-"))
+    return folder.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared checkpoint folder, so that lost executors and random partition bounds do no harm."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

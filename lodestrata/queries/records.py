@@ -98,7 +98,7 @@ def p7_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_records, p7_found, p7_fragments, p7_pointers, p7_snapshots)}
 
-_ROWS = """
+ROWS = """
     bounded AS (SELECT DISTINCT o.collection_id, o.record_id, o.log_offset AS seq, lower(o.op) AS op, o.doc_text, o.embedding, o.metadata
       FROM oplog o LEFT JOIN scans s ON o.collection_id = s.collection_id AND o.shard_index = s.shard_index
       WHERE o.record_id IS NOT NULL AND lower(o.op) IN ('add', 'update', 'upsert', 'delete') AND o.log_offset > coalesce(s.log_position, 0)
@@ -133,9 +133,9 @@ SQL = {
     SELECT log_id, 'period' AS piece, min(a) AS start_offset, max(b) AS limit_offset FROM i GROUP BY log_id, island
     UNION ALL SELECT log_id, 'gap', prev, a FROM p WHERE a > prev
     """,
-    "p2_found": f"WITH {_ROWS} SELECT collection_id, record_id, max(seq) AS last_log_offset FROM eff GROUP BY ALL",
+    "p2_found": f"WITH {ROWS} SELECT collection_id, record_id, max(seq) AS last_log_offset FROM eff GROUP BY ALL",
     "p2_records": f"""
-    WITH {_ROWS},
+    WITH {ROWS},
       body AS (SELECT collection_id, record_id, arg_max(doc_text, seq) FILTER (doc_text IS NOT NULL) AS doc_text,
           arg_max(embedding, seq) FILTER (embedding IS NOT NULL) AS embedding FROM eff GROUP BY ALL),
       entry AS (SELECT collection_id, record_id, seq, unnest(json_keys(metadata)) AS k, metadata FROM eff WHERE metadata IS NOT NULL),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import incremental
@@ -17,14 +16,14 @@ from ..operators.rank import Knn, Val, rank_rows, rrf
 from ..operators.sparse import bm25_weights, idf, rescale, sparse_knn
 from ..operators.where import FlatBinding, K, Key, MapBinding, compile_where, parse_where, parse_where_document
 from ..plans import search as P
-from ..plans.chunks import checkpointed
+from ..plans.chunks import checkpointed, shared_folder
+from ..plans.skew import lookup
 from ..sources.tables import table
 from ..streaming.fold import fold_stream
+from . import records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: Query vectors of the batch queries: rows of the corpus with these ids.
-ASKED = (0, 7, 42, 99)
 #: Cells of 16 that the approximate searches probe; the README has the recall measured with them.
 PROBES = 12
 
@@ -163,11 +162,7 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(F.col("id").isin(*ASKED)).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-def _stated(corpus: DataFrame) -> DataFrame:
-    """The whole query set: every twentieth id."""
+    """The stated query set: every row whose id is divisible by 20."""
     return corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
@@ -182,7 +177,7 @@ _METRIC = {"l2": _L2, "ip": f"1 - {_DOT.format(a='q', b='e')}", "cosine": f"1 -
 
 def _knn_sql(space: str, k: int = 5, where: str = "true") -> str:
     return f"""SELECT query_id, id, round(d, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank
-      FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_METRIC[space]} AS d FROM embeddings q, embeddings e WHERE q.vec_id IN {ASKED} AND {where})) WHERE rank <= {k}"""
+      FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_METRIC[space]} AS d FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND {where})) WHERE rank <= {k}"""
 
 
 @query(_knn_sql("l2"))
@@ -210,11 +205,11 @@ def knn_filtered(spark, sf):
     return _found(knn(hit, _asked(c), 5, "l2"))
 
 
-@query(_knn_sql("cosine", 3).replace(f"q.vec_id IN {ASKED}", "q.vec_id % 20 = 0"))
+@query(_knn_sql("cosine", 3))
 def knn_batch(spark, sf):
     """Every twentieth row as a query against all rows."""
     c = _corpus(spark, sf)
-    return _found(knn(c, c.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 3, "cosine"))
+    return _found(knn(c, _asked(c), 3, "cosine"))
 
 
 @query(_knn_sql("l2", 8))
@@ -230,58 +225,16 @@ def ivf_knn_all_cells(spark, sf):
     return _found(search_cells(build_cells(c, 16), _asked(c), 5, 16))
 
 
-# The same searches for the whole query set; those above keep their four ids, as their SQL does.
-def _stated_sql(sql: str) -> str:
-    return sql.replace(f"q.vec_id IN {ASKED}", "q.vec_id % 20 = 0")
-
-
-@query(_stated_sql(_knn_sql("l2")))
-def knn_l2_stated(spark, sf):
-    c = _corpus(spark, sf)
-    return _found(knn(c, _stated(c), 5, "l2"))
-
-
-@query(_stated_sql(_knn_sql("cosine")))
-def knn_cosine_stated(spark, sf):
-    c = _corpus(spark, sf)
-    return _found(knn(c, _stated(c), 5, "cosine"))
-
-
-@query(_stated_sql(_knn_sql("ip")))
-def knn_ip_stated(spark, sf):
-    c = _corpus(spark, sf)
-    return _found(knn(c, _stated(c), 5, "ip"))
-
-
-@query(_stated_sql(_knn_sql("l2", 5, "e.label IN (1, 3) AND e.label <> 3")))
-def knn_filtered_stated(spark, sf):
-    c = _corpus(spark, sf)
-    hit = c.filter(compile_where(Key("label").is_in([1, 3]) & (Key("label") != 3), FlatBinding(c, {"label": "label"})))
-    return _found(knn(hit, _stated(c), 5, "l2"))
-
-
-@query(_stated_sql(_knn_sql("l2", 8)))
-def knn_merge_shards_stated(spark, sf):
-    c = _corpus(spark, sf).withColumn("shard", oplog.shard_of(F.col("id").cast("string"), 3))
-    return _found(merge([knn(c.filter(F.col("shard") == n), _stated(c), 8, "l2") for n in range(3)], 8))
-
-
-@query(_stated_sql(_knn_sql("l2", 5)))
-def ivf_knn_all_cells_stated(spark, sf):
-    c = _corpus(spark, sf)
-    return _found(search_cells(build_cells(c, 16), _stated(c), 5, 16))
-
-
 @query()
 def ivf_knn(spark, sf):
     c = _corpus(spark, sf)
-    return _found(search_cells(build_cells(c, 16), _stated(c), 5, PROBES))
+    return _found(search_cells(build_cells(c, 16), _asked(c), 5, PROBES))
 
 
 @query()
 def quantized_knn(spark, sf):
     c = _corpus(spark, sf)
-    return _found(search_cells(build_cells(c, 16), _stated(c), 5, PROBES, rerank=64))
+    return _found(search_cells(build_cells(c, 16), _asked(c), 5, PROBES, rerank=64))
 
 
 # Rank expressions over two leaves of the embeddings.
@@ -388,13 +341,6 @@ def query_records(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query(f"SELECT query_id, rank, id::VARCHAR AS id, distance FROM ({_stated_sql(_knn_sql('cosine', 4, 'e.label <> 3'))})")
-def query_records_stated(spark, sf):
-    """``query_records`` for the whole query set."""
-    found = P.run_knn(_records(spark, sf), _stated(_corpus(spark, sf)), 4, "cosine", where={"label": {"$ne": 3}}, include=("distances",))
-    return found.withColumn("distance", F.round("distance", 6))
-
-
 # Text.
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _TOKENS = rf"toks AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda w: lower(w)), lambda w: w <> '' AND length(w) <= 40 AND w NOT IN ({_STOP})) AS t FROM documents WHERE text IS NOT NULL)"
@@ -414,48 +360,26 @@ def idf_df(spark, sf):
     return idf(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
-_WORDS = ("shard", "collection", "metadata", "filter")
-
-
-def _sparse_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, w, 1.0) for w in _WORDS[:2]] + [(1, w, 0.5) for w in _WORDS[1:]], "query_id long, dim string, weight double")
-
-
-_SPARSE = f"""{_TF}, q(query_id, dim, weight) AS (VALUES {", ".join([f"(0, '{w}', 1.0)" for w in _WORDS[:2]] + [f"(1, '{w}', 0.5)" for w in _WORDS[1:]])}),
-    n AS (SELECT count(*) AS n FROM wt), f AS (SELECT dim, count(*) AS df FROM wt GROUP BY dim),
+# Every twentieth document's text as a query against all documents.
+_SPARSE = f"""{_TF}, q AS (SELECT id AS query_id, dim, weight FROM wt WHERE id % 20 = 0),
+    f AS (SELECT dim, count(*) AS df FROM wt GROUP BY dim),
     s AS (SELECT query_id::BIGINT AS query_id, id, 1 - sum(wt.weight * q.weight@idf@) AS d FROM wt JOIN q ON wt.dim = q.dim JOIN f ON f.dim = q.dim GROUP BY query_id, id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM s)
     SELECT query_id, id, round(d, 6) AS distance, rank FROM r WHERE rank <= 15"""
 
 
-@query(_SPARSE.replace("@idf@", ""))
-def sparse_knn_overlap(spark, sf):
-    return _found(sparse_knn(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False), _sparse_queries(spark), 15))
-
-
-@query(_SPARSE.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
-def sparse_knn_idf(spark, sf):
-    size = table(spark, sf, "documents").count()
-    w = checkpointed(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False))  # the inverted index
-    return _found(sparse_knn(w, rescale(_sparse_queries(spark), idf(w, size), size), 15))
-
-
-# Every twentieth document's text as a query against all documents.
-_SPARSE_STATED = re.sub(r"q\(query_id, dim, weight\) AS \(VALUES .*?\)\),", "q AS (SELECT id AS query_id, dim, weight FROM wt WHERE id % 20 = 0),", _SPARSE)
-
-
 def _texts(weights: DataFrame) -> DataFrame:
     return weights.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "dim", "weight")
 
 
-@query(_SPARSE_STATED.replace("@idf@", ""))
-def sparse_knn_overlap_stated(spark, sf):
+@query(_SPARSE.replace("@idf@", ""))
+def sparse_knn_overlap(spark, sf):
     docs = table(spark, sf, "documents")
     return _found(sparse_knn(bm25_weights(docs, "doc_id", "text", stem=False), _texts(bm25_weights(docs.filter("doc_id % 20 = 0"), "doc_id", "text", stem=False)), 15))
 
 
-@query(_SPARSE_STATED.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
-def sparse_knn_idf_stated(spark, sf):
+@query(_SPARSE.replace("@idf@", " * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))"))
+def sparse_knn_idf(spark, sf):
     size = table(spark, sf, "documents").count()
     w = checkpointed(bm25_weights(table(spark, sf, "documents"), "doc_id", "text", stem=False))  # the inverted index
     return _found(sparse_knn(w, rescale(_texts(w), idf(w, size), size), 15))
@@ -542,11 +466,12 @@ _LIVE = f"WITH {_LAST.format(where='')}, live AS (SELECT * FROM last WHERE k = 1
 
 
 @query(f"""{_LIVE} SELECT 'kind' AS key, 'str' AS type, event_type AS value, count(*) AS count FROM live GROUP BY event_type
+    UNION ALL SELECT 'value', 'float', round(value, 2)::VARCHAR, count(*) FROM live WHERE value IS NOT NULL GROUP BY round(value, 2)
     UNION ALL SELECT 'summary', 'str', 'total_count', count(*) FROM live""")
 def stats_counts(spark, sf):
     """Statistics of the live records, in two incremental steps."""
     first, second = _changes(spark, sf)
-    return incremental.statistics(second, incremental.statistics(first)).filter("key <> 'value'").select("key", "type", "value", "count")
+    return incremental.statistics(second, incremental.statistics(first)).select("key", "type", "value", "count")
 
 
 @query(f"{_LIVE} SELECT count(*) AS total_count FROM live")
@@ -562,26 +487,81 @@ def revision_history(spark, sf):
 
 @query(f"""WITH old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id < 400) WHERE k = 1 AND event_type <> 'error'),
     {_LAST.format(where=' WHERE event_id >= 400')}
-    SELECT n.user_id::VARCHAR AS id, o.user_id IS NULL AS is_new, (o.event_type <> n.event_type AND o.user_id IS NOT NULL) AS kind_changed FROM last n LEFT JOIN old o ON n.user_id = o.user_id WHERE n.k = 1 AND n.event_type <> 'error'""")
+    SELECT n.user_id::VARCHAR AS id, o.user_id IS NULL AS is_new,
+      CASE WHEN o.event_type <> n.event_type THEN o.event_type || ' to ' || n.event_type END AS kind_changed,
+      CASE WHEN round(o.value, 2) <> round(n.value, 2) THEN round(100 * o.value)::BIGINT || ' to ' || round(100 * n.value)::BIGINT END AS cents_changed,
+      CASE WHEN o.user_id IS NULL OR o.value IS NULL THEN round(100 * n.value)::BIGINT END AS cents_inserted,
+      CASE WHEN n.value IS NULL THEN round(100 * o.value)::BIGINT END AS cents_deleted
+    FROM last n LEFT JOIN old o ON n.user_id = o.user_id WHERE n.k = 1 AND n.event_type <> 'error'""")
 def metadata_delta(spark, sf):
+    """What a compaction changes in the metadata: values put in, taken out, and replaced."""
     d = _changes(spark, sf)[1].filter("mat_op <> 'delete_existing'").withColumn("d", M.delta(F.col("old"), F.col("new")))
-    return d.select("id", (F.col("mat_op") == "add_new").alias("is_new"), F.map_contains_key("d.updates", "kind").alias("kind_changed"))
-
-
-@query(f"{_LIVE} SELECT user_id::VARCHAR AS id, event_id + 1 AS last_log_offset, event_type AS document FROM live")
+    cents = lambda v: F.round(100 * v["f"]).cast("long")
+    kind, value = (F.try_element_at("d.updates", F.lit(k)) for k in ("kind", "value"))
+    return d.select(
+        "id",
+        (F.col("mat_op") == "add_new").alias("is_new"),
+        F.concat(kind["old"]["s"], F.lit(" to "), kind["new"]["s"]).alias("kind_changed"),
+        F.concat(cents(value["old"]), F.lit(" to "), cents(value["new"])).alias("cents_changed"),
+        cents(F.try_element_at("d.inserts", F.lit("value"))).alias("cents_inserted"),
+        cents(F.try_element_at("d.deletes", F.lit("value"))).alias("cents_deleted"),
+    )
+
+
+# The log of all shards with one order, in which the operations of a shard come by their offsets.
+_SHARD = "shard AS (SELECT collection_id, shard_index, row_number() OVER (ORDER BY collection_id, shard_index) AS no FROM (SELECT DISTINCT collection_id, shard_index FROM oplog))"
+_WIDE = 1 << 32
+
+
+def _all_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """The operations of oplog with ids of their own across collections and offsets of their own across shards."""
+    log = table(spark, sf, "oplog").select("collection_id", "shard_index", "record_id", "log_offset", "op", F.col("doc_text").alias("document"), "embedding", "metadata").filter("record_id is not null")
+    shards = table(spark, sf, "oplog").select("collection_id", "shard_index").distinct()  # a catalogue's shards, not its rows
+    number = shards.withColumn("_no", F.row_number().over(Window.orderBy("collection_id", "shard_index")))
+    placed = log.join(F.broadcast(number), ["collection_id", "shard_index"])
+    return placed.withColumn("id", F.concat("collection_id", F.lit("/"), "record_id")).withColumn("_seq", F.col("_no") * _WIDE + F.col("log_offset"))
+
+
+@query(f"""WITH {records.ROWS}, {_SHARD},
+    ours AS (SELECT DISTINCT o.collection_id, o.record_id, no FROM oplog o JOIN shard s ON o.collection_id = s.collection_id AND o.shard_index = s.shard_index WHERE o.record_id IS NOT NULL),
+    base AS (SELECT collection_id, record_id, offset_id FROM segment_records), top AS (SELECT coalesce(max(offset_id), 0) AS top FROM base),
+    gone AS (SELECT DISTINCT collection_id, record_id FROM bounded WHERE op = 'delete'),
+    live AS (SELECT collection_id, record_id, max(seq) AS last FROM eff GROUP BY ALL),
+    seen AS (SELECT b.collection_id, b.record_id, seq, op, no, lag(op = 'delete') OVER (PARTITION BY b.collection_id, b.record_id ORDER BY seq) AS before
+      FROM (SELECT DISTINCT collection_id, record_id, seq, op FROM bounded WHERE op <> 'update') b JOIN ours o ON b.collection_id = o.collection_id AND b.record_id = o.record_id),
+    new AS (SELECT s.collection_id, s.record_id, row_number() OVER (ORDER BY no, seq) AS n FROM seen s LEFT JOIN base b ON s.collection_id = b.collection_id AND s.record_id = b.record_id
+      WHERE op <> 'delete' AND coalesce(before, true) AND b.offset_id IS NULL),
+    place AS (SELECT collection_id, record_id, max(n) AS n FROM new GROUP BY ALL)
+    SELECT l.collection_id || '/' || l.record_id AS id, coalesce(b.offset_id, top + n) AS offset_id, last AS last_log_offset,
+      CASE WHEN b.offset_id IS NULL THEN 'add_new' WHEN g.record_id IS NOT NULL THEN 'overwrite_existing' ELSE 'update_existing' END AS mat_op
+    FROM live l CROSS JOIN top LEFT JOIN base b ON l.collection_id = b.collection_id AND l.record_id = b.record_id LEFT JOIN gone g ON l.collection_id = g.collection_id AND l.record_id = g.record_id
+      LEFT JOIN place p ON l.collection_id = p.collection_id AND l.record_id = p.record_id WHERE b.offset_id IS NULL OR g.record_id IS NOT NULL OR last > 0
+    UNION ALL SELECT b.collection_id || '/' || b.record_id, b.offset_id, NULL, 'delete_existing'
+    FROM base b JOIN gone g ON b.collection_id = g.collection_id AND b.record_id = g.record_id LEFT JOIN live l ON b.collection_id = l.collection_id AND b.record_id = l.record_id WHERE l.record_id IS NULL""")
+def materialize_segment(spark, sf):
+    """The log of all shards, within the bounds of their scans, over the segment: all four kinds of change, with offset ids."""
+    scans = table(spark, sf, "scans").groupBy("collection_id", "shard_index").agg(F.max("log_position").alias("_from"), F.max("log_upper_bound").alias("_to"))
+    log = lookup(_all_shards(spark, sf), scans, ["collection_id", "shard_index"], salt=F.col("_seq"))
+    log = log.filter((F.col("log_offset") > F.coalesce("_from", F.lit(0))) & ((F.coalesce("_to", F.lit(0)) == 0) | (F.col("log_offset") <= F.col("_to"))))
+    segment = table(spark, sf, "segment_records").select(F.concat("collection_id", F.lit("/"), "record_id").alias("id"), "offset_id", F.col("doc_text").alias("document"), "embedding", "metadata")
+    done = oplog.materialize(log.select("id", F.col("_seq").alias("log_offset"), "op", "document", "embedding", "metadata"), segment)
+    return done.select("id", "offset_id", (F.col("last_log_offset") % _WIDE).alias("last_log_offset"), "mat_op")
+
+
+@query(f"""WITH {records.ROWS.replace("AND o.log_offset > coalesce(s.log_position, 0)", "").replace("AND (coalesce(s.log_upper_bound, 0) = 0 OR o.log_offset <= s.log_upper_bound)", "").replace(
+        "UNION ALL SELECT collection_id, record_id, 0, 'base', doc_text, embedding, metadata FROM segment_records", "")}
+    SELECT collection_id || '/' || record_id AS id, max(seq) AS last_log_offset, arg_max(doc_text, seq) FILTER (doc_text IS NOT NULL) AS document FROM eff GROUP BY ALL""")
 def stream_fold(spark, sf):
-    """The stateful streaming fold over the whole log, run until it has read all there is."""
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).parquet(path if spark._jvm.java.io.File(path).isDirectory() else f"{sf}/event[s].parquet")
-    ops = src.select(F.col("user_id").cast("string").alias("id"), (F.col("event_id") + 1).alias("log_offset"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("event_type").alias("document"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("metadata"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = tempfile.mkdtemp(prefix="lodestrata-stream-") if "://" not in shared else f"{shared}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    """The stateful streaming fold over the whole log in several micro-batches, whose operations are late and repeated."""
+    log = _all_shards(spark, sf).select("id", "log_offset", "op", "document", "embedding", "metadata")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    log.repartition(4, "log_offset", "op").write.parquet(f"{out}/log")
+    ops = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/log")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out}/found/batch={epoch}")
 
-    q = fold_stream(ops).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    q = fold_stream(ops).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(out).groupBy("id").agg(F.max_by(F.struct("live", "last_log_offset", "document"), "batch").alias("s"))
+    last = spark.read.parquet(f"{out}/found").groupBy("id").agg(F.max_by(F.struct("live", "last_log_offset", "document"), "batch").alias("s"))
     return last.filter("s.live").select("id", "s.last_log_offset", "s.document")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import oplog
 from lodestrata.operators.fold import fold_log
-from lodestrata.streaming.fold import apply
+from lodestrata.streaming.fold import apply, new_state, record, settle
 
 LOG = "coll string, rec string, _seq long, _op string, document string, embedding array<float>, metadata string"
 BASE = "coll string, rec string, document string, embedding array<float>, metadata string"
@@ -112,11 +112,30 @@ def test_partition_key_keeps_chunks_together(spark):
     assert [r[0] for r in df.select(oplog.partition_key(F.col("id"), True)).collect()] == ["doc", "doc", "a-b"]
 
 
-def test_stream_state_equals_replay():
+def test_stream_state_equals_replay_in_any_order():
     log = random_log(200, ["a", "b"], 3)
-    mine = {}
-    for _, r, seq, op, d, e, m in sorted(log, key=lambda x: x[2]):
-        s = mine.setdefault(r, {"seq": -1, "live": False, "document": None, "embedding": None, "metadata": {}})
-        apply(s, {"op": op, "log_offset": seq, "document": d, "embedding": e, "metadata": m})
-    want = brute(log, [])
-    assert {("k", r): (s["document"], s["embedding"], s["metadata"]) for r, s in mine.items() if s["live"]} == {k: (s["d"], s["e"], s["m"]) for k, s in want.items()}
+    for seed in range(20):
+        mine, order = {}, log + log[::7]
+        random.Random(seed).shuffle(order)
+        for n, (_, r, seq, op, d, e, m) in enumerate(order):
+            apply(mine.setdefault(r, new_state()), {"op": op, "log_offset": seq, "document": d, "embedding": e, "metadata": m})
+            if n % 5 == seed % 5:
+                settle(mine[r])
+        got = {}
+        for r, s in mine.items():
+            settle(s)
+            s = record(s)
+            if r is not None and s["live"]:
+                got["k", r] = (s["last_log_offset"], s["document"], s["embedding"], s["metadata"])
+        assert got == {k: (s["seq"], s["d"], s["e"], s["m"]) for k, s in brute(log, []).items()}
+
+
+def test_stream_state_is_bounded_by_a_promise_of_lateness():
+    s = new_state()
+    for n in range(1000):
+        apply(s, {"op": "upsert", "log_offset": n, "document": str(n), "embedding": None, "metadata": None})
+        settle(s, 10)
+    assert len(s["starts"]) <= 12 and record(s)["document"] == "999"
+    apply(s, {"op": "delete", "log_offset": 995, "document": None, "embedding": None, "metadata": None})
+    settle(s, 10)
+    assert s["starts"] == [996, 997, 998, 999] and record(s)["live"]

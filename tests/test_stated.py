@@ -15,13 +15,13 @@ VECTORS = ["knn_l2", "knn_cosine", "knn_ip", "knn_filtered", "knn_merge_shards",
 def test_vector_searches_answer_every_stated_id(spark, name):
     """Their rows are held against their SQL in test_entry."""
     stated = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
-    assert {r["query_id"] for r in entry.queries()[f"{name}_stated"](spark, SF).select("query_id").collect()} == stated
+    assert {r["query_id"] for r in entry.queries()[name](spark, SF).select("query_id").collect()} == stated
 
 
 @pytest.mark.parametrize("name", ["sparse_knn_overlap", "sparse_knn_idf"])
 def test_sparse_searches_ask_every_stated_text(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 20 = 0 and text is not null")
-    assert {r["query_id"] for r in entry.queries()[f"{name}_stated"](spark, SF).collect()} == {r[0] for r in docs.select("doc_id").collect()}
+    assert {r["query_id"] for r in entry.queries()[name](spark, SF).collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
 @pytest.mark.parametrize("signed", [False, True])
