@@ -1,65 +1,85 @@
-"""Nearest neighbours of stated query vectors: exact, and through a cell index with optional one-bit codes.
+"""Exact nearest neighbours of stated query vectors.
 
 A partition of the corpus computes its distances block-wise in NumPy and hands on only its ``k`` best per query, so what is
-shuffled is partitions * queries * k rows, not the product of queries and corpus.
+shuffled is partitions * queries * k rows, not the product of queries and corpus. A query set that is too large for one block
+never passes through the driver: blocks of queries and blocks of the corpus meet in a cogroup.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import SPACES, as_matrix, exact, matrix
+from ..functions.distance import SPACES, as_matrix, matrix
 from ..plans.skew import fits
 
-#: Most query vectors that are broadcast at once; more are done block by block.
-QUERY_BLOCK = 4096
+#: Most query vectors that are broadcast; of more, and of the corpus then, the rows of a block.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 131_072
 #: Rows of the corpus whose distances from all queries of a block are in memory at once.
 ROW_BLOCK = 2048
-#: Largest sample that cells are fitted on.
-SAMPLE = 65_536
-
-
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the queries, at most ``block`` at a time; queries of another length than the first are an error."""
-    q = queries.select(F.col(qid).cast("long").alias("i"), F.col(qvec).alias("v")).filter("i is not null and v is not null")
-    blocks = 1 if fits(q, block) else int(np.ceil(q.count() / (block / 2)))
-    for n in range(blocks):
-        t = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)).toArrow()
-        if len(t):
-            first = len(t["v"][0])
-            at, m = as_matrix(t["v"], first)
-            if len(at) < len(t):
-                raise ValueError("query vectors differ in length")
-            yield t["i"].to_numpy(), m
-
-
-def _top_of_batches(ids: np.ndarray, q: np.ndarray, space: str, k: int, spark_type: str):
-    """mapInArrow function: the k nearest rows of the partition for each query, ties by id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dist: list[np.ndarray] = [np.empty((len(q), 0))]
-        keys: list[np.ndarray] = [np.empty((len(q), 0), np.int64)]
-        for b in batches:
-            at, m = as_matrix(b.column(1), q.shape[1])
-            own = b.column(0).take(pa.array(at, pa.int64())).to_numpy(zero_copy_only=False)
-            for s in range(0, len(m), ROW_BLOCK):
-                d = matrix(q, m[s : s + ROW_BLOCK], space)
-                dist.append(d), keys.append(np.broadcast_to(own[s : s + ROW_BLOCK], d.shape))
-                d, i = np.concatenate(dist, 1), np.concatenate(keys, 1)
-                if d.shape[1] > k:
-                    order = np.lexsort((i, np.round(d, 9)), axis=1)[:, :k]
-                    d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                dist, keys = [d], [i]
-        d, i = dist[0], keys[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, d.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], ["query_id", "id", "distance"])
-
-    return run
+FOUND = "query_id long, id long, distance double"
+
+
+class Best:
+    """The ``k`` smallest (distance, id) of each query among what was added, every id once."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.q, self.i, self.d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.bound = np.full(queries, np.inf)
+
+    def add(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
+        q, i, d = np.concatenate([self.q, q]), np.concatenate([self.i, i]), np.concatenate([self.d, d])
+        r = np.round(d, 9)
+        o = np.lexsort((r, i, q))
+        o = o[np.r_[True, (np.diff(q[o]) != 0) | (np.diff(i[o]) != 0)]] if len(o) else o
+        o = o[np.lexsort((i[o], r[o], q[o]))]
+        q, i, d = q[o], i[o], d[o]
+        keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.bound)))[q] < self.k
+        self.q, self.i, self.d = q[keep], i[keep], d[keep]
+        n = np.bincount(self.q, minlength=len(self.bound))
+        last = np.cumsum(n) - 1
+        full = n == self.k
+        self.bound[full] = self.d[last[full]]
+
+    def add_block(self, d: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """All rows of a block: ``d`` (queries, rows), for all queries or those given; what cannot be among the best is left out."""
+        queries = np.arange(len(d)) if queries is None else queries
+        bound = self.bound[queries]
+        if d.shape[1] > self.k:
+            bound = np.minimum(bound, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        q, x = np.nonzero(d <= (bound + 2e-9)[:, None])
+        self.add(queries[q], ids[x], d[q, x])
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names[self.q], pa.int64()), pa.array(self.i, pa.int64()), pa.array(self.d, pa.float64())], ["query_id", "id", "distance"])
+
+
+def usable_queries(queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    """(i, v) of the queries that take part; ValueError if their vectors differ in length."""
+    q = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query).alias("v")).filter("i is not null and v is not null")
+    if q.select(F.size("v")).distinct().limit(2).count() > 1:
+        raise ValueError("query vectors differ in length")
+    return q
+
+
+def small_block(q: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, matrix) of a query set of at most ``QUERY_BLOCK`` rows, else None."""
+    if not fits(q, QUERY_BLOCK):
+        return None
+    t = q.toArrow()
+    return t["i"].to_numpy(), as_matrix(t["v"], len(t["v"][0]))[1] if len(t) else np.zeros((0, 0))
+
+
+def _add_rows(best: Best, ids: pa.Array, vectors: pa.Array, q: np.ndarray, space: str) -> None:
+    at, m = as_matrix(vectors, q.shape[1])
+    own = ids.take(pa.array(at, pa.int64())).to_numpy(zero_copy_only=False)
+    for s in range(0, len(m), ROW_BLOCK):
+        best.add_block(matrix(q, m[s : s + ROW_BLOCK], space), own[s : s + ROW_BLOCK])
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -80,154 +100,41 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, space: str = "l2", i
     if space not in SPACES:
         raise ValueError(f"unknown space {space!r}")
     slim = corpus.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
-    parts = [slim.mapInArrow(_top_of_batches(i, q, space, k, "long"), "query_id long, id long, distance double") for i, q in _query_blocks(queries, query_id, query, QUERY_BLOCK)]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
-
-
-def merge(lists: list[DataFrame], k: int) -> DataFrame:
-    """One ranking of several results of ``knn`` (shards, log and segment): the ``k`` nearest, every id once."""
-    found = lists[0].select("query_id", "id", "distance")
-    for x in lists[1:]:
-        found = found.unionByName(x.select("query_id", "id", "distance"))
-    return ranked(found, k)
-
+    asked = usable_queries(queries, query_id, query)
+    small = small_block(asked)
+    if small is None:
+        return ranked(_in_blocks(slim, asked, k, space), k)
+    names, q = small
 
-def kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3, balance: float = 0.0) -> np.ndarray:
-    """Centres of ``cells`` cells by Lloyd's iterations; ``balance`` adds that share of the mean distance per surplus share of
-    members, so that crowded cells shrink."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
-    load = np.ones(len(c))
-    for _ in range(rounds):
-        d = matrix(x, c, "l2")
-        own = (d + balance * d.mean() * (load - 1)[None]).argmin(1)
-        n = np.bincount(own, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
-        load = n / max(1.0, n.mean())
-    return c
-
-
-@dataclass
-class CellIndex:
-    """Vectors by cell: ``rows`` has id, vector, cell; a vector may be in several cells."""
-
-    rows: DataFrame
-    centres: np.ndarray
-    space: str
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(names), k)
+        for b in batches:
+            _add_rows(best, b.column(0), b.column(1), q, space)
+        yield best.batch(names)
 
-    def write(self, path: str) -> None:
-        """Save, partitioned by cell, so that a search reads the probed cells only."""
-        spark = self.rows.sparkSession
-        self.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-        spark.createDataFrame([(n, c.tolist(), self.space) for n, c in enumerate(self.centres)], "cell int, centre array<double>, space string").write.mode("overwrite").parquet(f"{path}/centres")
+    return ranked(slim.mapInArrow(run, FOUND), k)
 
-    @staticmethod
-    def read(spark, path: str) -> CellIndex:
-        c = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
-        return CellIndex(spark.read.parquet(f"{path}/rows"), np.array([r["centre"] for r in c]), c[0]["space"])
 
+def _in_blocks(slim: DataFrame, asked: DataFrame, k: int, space: str) -> DataFrame:
+    """Candidates of large query sets: every block of queries meets every block of the corpus."""
+    nq, nc = int(np.ceil(asked.count() / QUERY_BLOCK)), max(1, int(np.ceil(slim.count() / CORPUS_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("i", "v", F.pmod(F.xxhash64("i"), F.lit(nq)).cast("int").alias("_q")).withColumn("_c", every(nc))
+    right = slim.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("_c")).withColumn("_q", every(nq))
 
-def _unit(x: np.ndarray, space: str) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-32) if space == "cosine" else x
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = a["i"].to_numpy()
+        best = Best(len(names), k)
+        if len(a) and len(b):
+            _add_rows(best, b["id"].combine_chunks(), b["v"].combine_chunks(), as_matrix(a["v"], len(a["v"][0]))[1], space)
+        return pa.Table.from_batches([best.batch(names)])
 
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, FOUND)
 
-def build_cells(corpus: DataFrame, cells: int, space: str = "l2", replicas: int = 2, epsilon: float = 0.3, id: str = "id", vector: str = "embedding", sample: int = SAMPLE) -> CellIndex:
-    """Index every usable vector of ``corpus`` under its nearest cell and, to soften borders, under up to ``replicas`` cells.
 
-    Centres are fitted on at most ``sample`` vectors. A further cell is taken only if its distance is at most ``1 + epsilon``
-    times that of the nearest and if no cell taken before is nearer to it than the vector is (relative neighbourhood rule).
-    """
-    slim = corpus.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
-    total = slim.count()
-    drawn = slim.filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 2.0 * sample / max(1, total))) + 1).orderBy(F.xxhash64(F.lit(11), "id")).limit(sample).select("vector").toArrow()
-    if not len(drawn):
-        raise ValueError("no vectors to index")
-    dim = len(drawn["vector"][0])
-    c = kmeans(_unit(as_matrix(drawn["vector"], dim)[1], space), cells)
-    between = matrix(c, c, "l2")
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, m = as_matrix(b.column(1), dim)
-            d = matrix(_unit(m, space), c, "l2")
-            order = np.argsort(d, 1)[:, : max(replicas * 4, 1)]
-            rows, own = [], []
-            for n in range(len(m)):
-                taken: list[int] = []
-                for j in order[n]:
-                    if len(taken) >= replicas or (taken and d[n, j] > (1 + epsilon) * d[n, taken[0]]):
-                        break
-                    if all(between[j, t] >= d[n, j] for t in taken):
-                        taken.append(int(j))
-                rows += [int(at[n])] * len(taken)
-                own += taken
-            pick = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(own, pa.int32())], ["id", "vector", "cell"])
-
-    kind = slim.schema["vector"].dataType.simpleString()
-    return CellIndex(slim.mapInArrow(assign, f"id long, vector {kind}, cell int"), c, space)
-
-
-def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 8, query_id: str = "query_id", query: str = "query", rerank: int | None = None) -> DataFrame:
-    """As ``knn``, over the ``probes`` nearest cells of each query only.
-
-    With ``rerank``, one-bit codes of the vectors' residuals estimate the distances first, and only the ``rerank`` best rows of
-    a batch per query are measured exactly.
-    """
-    space, c, parts = index.space, index.centres, []
-    for ids, q in _query_blocks(queries, query_id, query, QUERY_BLOCK):
-        near = np.argsort(matrix(_unit(q, space), c, "l2"), 1)[:, :probes]
-        by_cell = {int(j): np.flatnonzero((near == j).any(1)) for j in np.unique(near)}
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, by_cell=by_cell) -> Iterator[pa.RecordBatch]:
-            best: dict[int, list[np.ndarray]] = {}
-            for b in batches:
-                at, m = as_matrix(b.column(1), q.shape[1])
-                own = b.column(0).take(pa.array(at, pa.int64())).to_numpy(zero_copy_only=False)
-                cell = b.column(2).take(pa.array(at, pa.int64())).to_numpy(zero_copy_only=False)
-                for j in np.unique(cell):
-                    mine = np.flatnonzero(cell == j)
-                    for n in by_cell.get(int(j), ()):
-                        rows = mine
-                        if rerank and len(rows) > rerank:
-                            rows = rows[np.argpartition(estimate(q[n], m[rows], c[j], space), rerank - 1)[:rerank]]
-                        pair = np.stack([exact(q[n], m[rows], space), own[rows].astype(float)])
-                        if n in best:
-                            pair = np.concatenate([best[n], pair], 1)
-                        best[n] = pair[:, np.lexsort((pair[1], np.round(pair[0], 9)))[: k * 4]]
-            for n, pair in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array([ids[n]] * pair.shape[1]), pa.array(pair[1].astype(np.int64)), pa.array(pair[0])], ["query_id", "id", "distance"])
-
-        rows = index.rows.filter(F.col("cell").isin(*by_cell)).select("id", "vector", "cell")
-        parts.append(rows.mapInArrow(run, "query_id long, id long, distance double"))
-    if not parts:
-        return index.rows.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+def merge(lists: list[DataFrame], k: int) -> DataFrame:
+    """One ranking of several results of ``knn`` (shards, log and segment): the ``k`` nearest, every id once."""
+    found = lists[0].select("query_id", "id", "distance")
+    for x in lists[1:]:
+        found = found.unionByName(x.select("query_id", "id", "distance"))
     return ranked(found, k)
-
-
-def estimate(q: np.ndarray, x: np.ndarray, centre: np.ndarray, space: str) -> np.ndarray:
-    """Distances of ``q`` from the rows of ``x`` as one-bit codes of their residuals from the centre tell them.
-
-    The code of a residual is its signs; its cosine with the query's residual is that of the signs, divided by how well the
-    signs stand for the residual.
-    """
-    if space == "cosine":
-        q, x = _unit(q[None], space)[0], _unit(x, space)
-    r, p = x - centre, q - centre
-    norm, size = np.linalg.norm(r, axis=1), np.linalg.norm(p)
-    signs = np.where(r >= 0, 1.0, -1.0) / np.sqrt(x.shape[1])
-    fit = np.maximum((signs * r).sum(1) / np.maximum(norm, 1e-32), 1e-6)
-    inner = norm * (signs @ p) / fit
-    if space == "l2":
-        return norm**2 + size**2 - 2 * inner
-    return 1.0 - (inner + x @ centre + q @ centre - centre @ centre)

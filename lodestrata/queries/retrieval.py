@@ -11,7 +11,8 @@ from ..functions import incremental
 from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import oplog
-from ..operators.knn import build_cells, knn, merge, search_cells
+from ..operators.cells import build_cells, search_cells
+from ..operators.knn import knn, merge
 from ..operators.rank import Knn, Val, rank_rows, rrf
 from ..operators.sparse import bm25_weights, idf, rescale, sparse_knn
 from ..operators.where import FlatBinding, K, Key, MapBinding, compile_where, parse_where, parse_where_document
@@ -234,7 +235,7 @@ def ivf_knn(spark, sf):
 @query()
 def quantized_knn(spark, sf):
     c = _corpus(spark, sf)
-    return _found(search_cells(build_cells(c, 16), _asked(c), 5, PROBES, rerank=64))
+    return _found(search_cells(build_cells(c, 16), _asked(c), 5, PROBES, rerank=200))
 
 
 # Rank expressions over two leaves of the embeddings.

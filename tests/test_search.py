@@ -8,7 +8,8 @@ from lodestrata.functions import metadata as M
 from lodestrata.functions import text as T
 from lodestrata.functions.distance import SPACES, distance, matrix, normalized
 from lodestrata.functions.embedding import Bm25, Hashing, embed_missing
-from lodestrata.operators.knn import CellIndex, build_cells, kmeans, knn, merge, search_cells
+from lodestrata.operators.cells import CellIndex, build_cells, kmeans, search_cells
+from lodestrata.operators.knn import knn, merge
 from lodestrata.operators.rank import Knn, RankError, Val, evaluate, parse_rank, rrf
 from lodestrata.operators.sparse import bm25_weights, sparse_knn
 from lodestrata.operators.where import K, Key
@@ -60,13 +61,41 @@ def test_cells_with_and_without_codes(spark, corpus, asked, tmp_path):
     index.write(str(tmp_path / "ix"))
     again = CellIndex.read(spark, str(tmp_path / "ix"))
     assert {(r["query_id"], r["rank"], r["id"]) for r in search_cells(again, asked, 5, 12).collect()} == want("l2", 5)
-    for kw in ({"probes": 6}, {"probes": 12, "rerank": 12}):
+    for kw in ({"probes": 9}, {"probes": 12, "rerank": 60}):
         got = {(r["query_id"], r["id"]) for r in search_cells(index, asked, 5, **kw).collect()}
-        assert len(got & {(q, i) for q, _, i in want("l2", 5)}) >= 20
+        assert len(got & {(q, i) for q, _, i in want("l2", 5)}) >= 23
     loads = np.bincount(matrix(X.astype(float), kmeans(X.astype(float), 6, balance=1.0), "l2").argmin(1))
     assert loads.min() > 0
 
 
+def test_large_query_sets_meet_the_cells_in_a_cogroup(corpus, monkeypatch):
+    every = corpus.filter("id < 300").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    index = build_cells(corpus, 6)
+    rows = lambda df: {(r["query_id"], r["rank"], r["id"]) for r in df.collect()}
+    few, exact, codes = rows(search_cells(index, every, 4, 2)), rows(knn(corpus, every, 4)), rows(search_cells(index, every, 4, 3, rerank=30))
+    monkeypatch.setattr("lodestrata.operators.knn.QUERY_BLOCK", 100)
+    monkeypatch.setattr("lodestrata.operators.knn.CORPUS_BLOCK", 70)
+    monkeypatch.setattr("lodestrata.operators.cells.CELL_BLOCK", 20)
+    assert rows(search_cells(index, every, 4, 2)) == few and rows(search_cells(index, every, 4, 3, rerank=30)) == codes
+    assert rows(search_cells(index, every, 4, 6)) == exact and rows(knn(corpus, every, 4)) == exact
+
+
+def test_an_index_is_kept_up_with_changes(spark, corpus, asked, tmp_path):
+    index = build_cells(corpus.filter("id < 200"), 4).write(str(tmp_path / "ix"))
+    index = index.changed(corpus.filter("id < 20").select("id"), corpus.filter("id < 10 or id >= 200").select("id", F.col("embedding").alias("vector")))
+    kept = index.maintained(cell_rows=40)
+    sizes = {r["cell"]: r["count"] for r in kept.rows.groupBy("cell").count().collect()}
+    assert len(kept.centres) > 4 and set(sizes) <= set(range(len(kept.centres)))
+    now = corpus.filter("(id < 10 or id >= 20) and id < 300")
+    assert {r["id"] for r in kept.rows.select("id").collect()} == {r["id"] for r in now.select("id").collect()}
+    rows = lambda df: {(r["query_id"], r["rank"], r["id"]) for r in df.collect()}
+    assert rows(search_cells(kept, asked, 5, len(kept.centres))) == rows(knn(now, asked, 5))
+    few = CellIndex(kept.rows, kept.centres, kept.space).maintained(cell_rows=4000)
+    assert len(few.centres) < len(kept.centres) and rows(search_cells(few, asked, 5, len(few.centres))) == rows(knn(now, asked, 5))
+    same = spark.range(300).select("id", F.array(*[F.lit(1.0).cast("float")] * 4).alias("embedding"))
+    assert build_cells(same, 1).maintained(cell_rows=50).rows.select("id").distinct().count() == 300
+
+
 def test_distance_columns(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 1.0])], "a array<float>, b array<float>")
     got = df.select(*[distance(F.col("a"), F.col("b"), s).alias(s) for s in SPACES], normalized(F.col("b")).alias("u")).collect()
