@@ -15,15 +15,19 @@ from .functions import embedding as E
 from .functions import incremental
 from .functions import metadata as M
 from .operators import oplog
+from .operators.cells import CELL_ROWS, MOST_CELLS, CellIndex, build_cells, search_cells
+from .operators.knn import knn, merge
 from .operators.rank import leaves
 from .operators.where import IndexSchema, combined
 from .plans import search as P
-from .plans.chunks import range_chunks, row_numbers
+from .plans.chunks import checkpointed, range_chunks, row_numbers
 from .sources.catalog import Catalog, CatalogError, Conflict, Version
 
 WRITES = ("add", "update", "upsert")
 #: Most records of one call with Python lists; larger loads come as DataFrames.
 MAX_BATCH = 50_000
+#: Cells that a search through the index reads, unless ``config["index"]`` says otherwise.
+PROBES = 64
 
 
 def _meta_json(m: Mapping[str, Any] | None) -> str | None:
@@ -48,9 +52,11 @@ class Collection:
 
     @property
     def schema(self) -> IndexSchema:
-        """What may be filtered and searched: ``config["schema"]`` has disabled (key -> value types) and full_text."""
+        """What may be filtered and searched: ``config["schema"]`` has disabled (key -> value types), full_text, and
+        vector_keys (metadata keys with sparse vectors that may be searched, besides that of ``config["sparse"]``)."""
         s = self.version.config.get("schema", {})
-        return IndexSchema({k: frozenset(v) for k, v in s.get("disabled", {}).items()}, s.get("full_text", True))
+        vectors = {P.W.EMBEDDING, *s.get("vector_keys", ()), *([self.sparse["key"]] if self.sparse else [])}
+        return IndexSchema({k: frozenset(v) for k, v in s.get("disabled", {}).items()}, s.get("full_text", True), frozenset(vectors))
 
     @property
     def sparse(self) -> dict[str, Any]:
@@ -112,16 +118,30 @@ class Collection:
         self._write("upsert", ids, embeddings, metadatas, documents)
 
     def write_frame(self, rows: DataFrame, op: str = "upsert") -> int:
-        """Append a DataFrame (id, document, embedding, metadata as JSON text) of any size to the log, in id order."""
+        """Append a DataFrame (id, document, embedding, metadata as JSON text) of any size to the log, in id order.
+
+        As in the calls with lists, documents get their dense and sparse vectors, and repeated ids and embeddings of another
+        dimension are errors. Rows without id are left out.
+        """
         if op not in WRITES:
             raise ValueError(f"unknown operation {op!r}")
-        rows = rows.filter("id is not null")
+        rows = rows.filter("id is not null").select("id", "document", F.col("embedding").cast("array<float>").alias("embedding"), "metadata")
         if self.embedder:
             rows = E.embed_missing(rows, self.embedder)
-        numbered = row_numbers(range_chunks(rows.select("id", "document", F.col("embedding").cast("array<float>").alias("embedding"), "metadata"), ["id"]), [], [F.col("id").asc()], "_n")
-        n = numbered.count()
-        self._commit_rows(numbered.withColumn("log_offset", F.col("_n") + self.version.log_end).withColumn("op", F.lit(op)), n)
-        return n
+        if self.sparse:
+            rows = E.with_sparse(rows, self.sparse["key"])
+        numbered = checkpointed(row_numbers(range_chunks(rows, ["id"]), [], [F.col("id").asc()], "_n"))
+        facts = numbered.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count_if(F.col("embedding").isNull()).alias("none")).first()
+        if op == "add" and facts["none"]:
+            raise ValueError("add needs embeddings, or documents and an embedding function")
+        dims = {facts["low"], facts["high"], self.version.dimension} - {None}
+        if len(dims) > 1:
+            raise ValueError(f"embeddings of several dimensions: {sorted(dims)}")
+        if numbered.groupBy("id").count().filter("count > 1").limit(1).count():
+            raise ValueError("ids are repeated in the frame")
+        if facts["n"]:
+            self._commit_rows(numbered.withColumn("log_offset", F.col("_n") + self.version.log_end).withColumn("op", F.lit(op)), facts["n"], next(iter(dims), None))
+        return facts["n"]
 
     def delete(self, ids: Sequence[str] | None = None, where: Any = None, where_document: Any = None, limit: int | None = None) -> int:
         """Delete records by ids, by a filter, or both; ``limit`` (the first in natural order) goes with a filter only."""
@@ -140,6 +160,8 @@ class Collection:
     def records(self, level: str = oplog.INDEX_AND_WAL) -> DataFrame:
         """The live records at a read level, as a frame for the plans."""
         v = self.version
+        if level == oplog.INDEX_ONLY or not v.logs:
+            return oplog.segment_records(self.catalog.read_segment(v))
         log = oplog.read_level(self.catalog.read_log(v), level, v.log_position)
         return oplog.current_records(log, self.catalog.read_segment(v))
 
@@ -171,7 +193,28 @@ class Collection:
             query_embeddings = self.embedder.encode(list(query_texts))
         if not isinstance(query_embeddings, DataFrame):
             query_embeddings = self.catalog.spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(query_embeddings)], "query_id long, query array<double>")
-        return P.run_knn(self.records(level), query_embeddings, n_results, self.space, where, where_document, ids, include)
+        finder = self._finder(level, where is not None or where_document is not None or ids is not None) if self.version.index else None
+        return P.run_knn(self.records(level), query_embeddings, n_results, self.space, where, where_document, ids, include, finder)
+
+    def _finder(self, level: str, narrowed: bool) -> P.Finder:
+        """The search through the cell index: of the folded records those in the probed cells, without the ones that the log
+        touches, and of these all; then both are merged."""
+        v, opts = self.version, self.version.config["index"]
+        index = self.catalog.read_index(v)
+
+        def find(hit: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+            rows = index.rows
+            fresh = None
+            if v.logs and level != oplog.INDEX_ONLY:
+                log = oplog.read_level(self.catalog.read_log(v), level, v.log_position)
+                rows = rows.join(oplog.touched(log, self.catalog.read_segment(v)).select(F.col("offset_id").alias("id")), "id", "left_anti")
+                fresh = knn(oplog.touched(log, hit), queries, k, self.space, id="offset_id")
+            if narrowed:
+                rows = rows.join(hit.select(F.col("offset_id").alias("id")), "id", "left_semi")
+            found = search_cells(CellIndex(rows, index.centres, index.space, index.replicas, index.epsilon), queries, k, opts.get("probes", PROBES), rerank=opts.get("rerank"))
+            return found if fresh is None else merge([found, fresh], k)
+
+        return find
 
     def search(self, plans: P.Search | Mapping | Sequence, level: str = oplog.INDEX_AND_WAL) -> DataFrame | list[DataFrame]:
         """Composed searches: one result for one plan, a list for several."""
@@ -182,6 +225,7 @@ class Collection:
         for p in parsed:
             self.schema.check(p.filter)
             for x in leaves(p.rank_expr) if p.rank_expr else ():
+                self.schema.check_key(x.key)
                 if x.key not in (P.W.EMBEDDING, self.sparse.get("key")) and isinstance(x.query, str):
                     raise ValueError(f"a text query needs a vector key, not {x.key!r}")
         idf_keys = [self.sparse["key"]] if self.sparse.get("idf") else []
@@ -199,13 +243,31 @@ class Collection:
             live = segment.join(done.select("id"), "id", "left_anti").unionByName(done.filter("mat_op <> 'delete_existing'").withColumn("metadata", text).select("id", "offset_id", "document", "embedding", "metadata"))
             name = self.catalog.write_segment(live)
             changed = incremental.changes(done, segment)
+            index = self._index_of(done, name)
             functions = {k: {**f, "output": self._run_function(f, changed, log)} for k, f in v.functions.items()}
             total = self.catalog.spark.read.parquet(self.catalog.store.path(name)).count()
-            self.version = self.catalog.commit(v, segment=name, log_position=v.log_end, logs=(), total_records=total, functions=functions)
+            self.version = self.catalog.commit(v, segment=name, index=index, log_position=v.log_end, logs=(), total_records=total, functions=functions)
         finally:
             done.unpersist()
         return self.version
 
+    def _index_of(self, done: DataFrame, segment: str) -> str | None:
+        """The cell index of a new segment, if ``config["index"]`` asks for one: the last one with the changes, after one round
+        of upkeep, or a new one."""
+        opts = self.version.config.get("index")
+        if opts is None:
+            return None
+        size, old = opts.get("cell_rows", CELL_ROWS), self.catalog.read_index(self.version)
+        if old is not None:
+            new = done.filter("mat_op <> 'delete_existing' and embedding is not null").select(F.col("offset_id").alias("id"), F.col("embedding").alias("vector"))
+            return self.catalog.write_index(old.changed(done.select(F.col("offset_id").alias("id")), new).maintained(size))
+        live = self.catalog.spark.read.parquet(self.catalog.store.path(segment)).filter("embedding is not null")
+        n = live.count()
+        if not n:
+            return None
+        built = build_cells(live, min(MOST_CELLS, max(1, round(n / size))), self.space, opts.get("replicas", 2), opts.get("epsilon", 0.3), id="offset_id")
+        return self.catalog.write_index(built)
+
     def _run_function(self, f: Mapping[str, Any], changed: DataFrame, log: DataFrame) -> str:
         before = self.catalog.spark.read.parquet(self.catalog.store.path(f["output"])) if f.get("output") else None
         run = incremental.registered(f["function"])

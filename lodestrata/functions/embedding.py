@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from . import text as T
-from .metadata import SparseVector
+from .metadata import SPARSE_TAG, TAG, SparseVector
 
 _DENSE: dict[str, Callable[..., DenseFunction]] = {}
 
@@ -99,5 +100,23 @@ class Bm25:
 
 
 def embed_missing(records: DataFrame, function: DenseFunction, document: str = "document", embedding: str = "embedding") -> DataFrame:
-    """``records`` with the vectors of their documents where they bring none."""
-    return records.withColumn(embedding, F.coalesce(F.col(embedding).cast("array<float>"), function.column(F.col(document))))
+    """``records`` with the vectors of their documents where they bring none; other documents do not reach the function."""
+    given = F.col(embedding).cast("array<float>")
+    return records.withColumn(embedding, F.coalesce(given, function.column(F.when(given.isNull(), F.col(document)))))
+
+
+def with_sparse(records: DataFrame, key: str, document: str = "document", metadata: str = "metadata") -> DataFrame:
+    """``records`` with the BM25 vector of each document under ``key`` of its metadata (JSON text)."""
+    encode = Bm25()
+
+    @F.pandas_udf("string")
+    def added(documents: pd.Series, metas: pd.Series) -> pd.Series:
+        out = []
+        for d, m in zip(documents, metas, strict=True):
+            if d is not None:
+                v = encode(d)
+                m = json.dumps({**(json.loads(m) if m else {}), key: {TAG: SPARSE_TAG, "indices": v.indices, "values": v.values}})
+            out.append(m)
+        return pd.Series(out, dtype=object)
+
+    return records.withColumn(metadata, added(F.col(document), F.col(metadata)))

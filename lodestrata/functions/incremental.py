@@ -6,12 +6,14 @@ outputs are small tables, so applying batch after batch equals one run over ever
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.chunks import range_chunks, row_numbers
 from . import metadata as M
 
 SUMMARY, TOTAL = "summary", "total_count"
@@ -103,6 +105,27 @@ def read_statistics(stats: DataFrame, keys: str | Sequence[str] | None = None) -
     return out
 
 
+def _versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Versions of writes in (id, log_offset) order; ``shift`` is source version minus version in the current generation."""
+    id, top, shift = None, 0, None
+    for b in batches:
+        out: list[tuple] = []
+        for row in b.itertuples(index=False):
+            if row.id != id:
+                id, top, shift = row.id, int(row.top), None if pd.isna(row.start) else int(row.start)
+            given = None if pd.isna(row.source_version) else int(row.source_version)
+            if given is None:
+                version = top + 1
+            else:
+                if shift is None or given < top + shift:
+                    shift = given - top - 1
+                version = given - shift
+            if version > top:
+                out.append((id, version, given, row.is_delete, row.document))
+                top = version
+        yield pd.DataFrame(out, columns=["id", "version", "source_version", "is_delete", "document"]).astype({"version": "int64", "source_version": "Int64"})
+
+
 @register("revision_history")
 def revision_history(log: DataFrame, before: DataFrame | None = None, version_key: str | None = None) -> DataFrame:
     """(id, original_id, version, source_version, is_delete, document): one row per effective write of each record.
@@ -115,29 +138,16 @@ def revision_history(log: DataFrame, before: DataFrame | None = None, version_ke
     ops = log.filter(F.lower("op").isin("add", "update", "upsert", "delete") & F.col("id").isNotNull())
     rows = ops.select("id", "log_offset", (F.lower("op") == "delete").alias("is_delete"), "document", (F.col("source_version") if version_key or "source_version" in log.columns else F.lit(None)).cast("long").alias("source_version"))
     rows = rows.withColumn("source_version", F.when(~F.col("is_delete"), F.col("source_version"))).dropDuplicates(["id", "log_offset"])
-    last = None if before is None else before.groupBy("original_id").agg(F.max("version").alias("_max"), F.max_by(F.struct("version", "source_version"), "version").alias("_last"))
+    last = None if before is None else before.groupBy("original_id").agg(F.max("version").alias("_max"), F.max_by(F.struct("version", "source_version"), F.when(F.col("source_version").isNotNull(), F.col("version"))).alias("_last"))
     rows = rows.withColumns({"_max": F.lit(0).cast("long"), "_start": F.lit(None).cast("long")}) if last is None else rows.join(last.select(F.col("original_id").alias("id"), "_max", F.when(F.col("_last.source_version").isNotNull(), F.col("_last.source_version") - F.col("_last.version")).alias("_start")), "id", "left").withColumn("_max", F.coalesce("_max", F.lit(0).cast("long")))
 
-    # Version by version: the state is a short struct, so the fold is an aggregate over each record's ordered writes.
-    state = "struct<top:bigint,shift:bigint,out:array<struct<version:bigint,source_version:bigint,is_delete:boolean,document:string>>>"
-    first = F.struct(F.col("_max").alias("top"), F.col("_start").alias("shift"), F.array().cast("array<struct<version:bigint,source_version:bigint,is_delete:boolean,document:string>>").alias("out")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        plain = x["source_version"].isNull()
-        # ``shift``: source version minus effective version in the current generation
-        anew = ~plain & (s["shift"].isNull() | (x["source_version"] < s["top"] + s["shift"]))
-        shift = F.when(plain, s["shift"]).when(anew, x["source_version"] - s["top"] - 1).otherwise(s["shift"])
-        version = F.when(plain, s["top"] + 1).otherwise(x["source_version"] - shift)
-        keep = version > s["top"]
-        row = F.struct(version.alias("version"), x["source_version"].alias("source_version"), x["is_delete"].alias("is_delete"), x["document"].alias("document"))
-        return F.struct(F.greatest(version, s["top"]).alias("top"), shift.alias("shift"), F.when(keep, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out")).cast(state)
-
     if version_key is None and "source_version" not in log.columns:
-        n = F.row_number().over(Window.partitionBy("id").orderBy("log_offset")).cast("long") + F.col("_max")
-        new = rows.select("id", n.alias("version"), F.lit(None).cast("long").alias("source_version"), "is_delete", "document")
+        n = row_numbers(range_chunks(rows, ["id", "log_offset"]), ["id"], [F.col("log_offset").asc()], "_n")
+        new = n.select("id", (F.col("_n") + F.col("_max")).alias("version"), F.lit(None).cast("long").alias("source_version"), "is_delete", "document")
     else:
-        lists = rows.groupBy("id").agg(F.first("_max").alias("_max"), F.first("_start").alias("_start"), F.array_sort(F.collect_list(F.struct("log_offset", "source_version", "is_delete", "document"))).alias("_w"))
-        new = lists.select("id", F.explode(F.aggregate("_w", first, step)["out"]).alias("_r")).select("id", "_r.*")
+        # Each record's writes go by in order; what is kept of them is the last version and its generation.
+        ordered = rows.select("id", "log_offset", "source_version", "is_delete", "document", F.col("_max").alias("top"), F.col("_start").alias("start")).repartition("id").sortWithinPartitions("id", "log_offset")
+        new = ordered.mapInPandas(_versions, "id string, version long, source_version long, is_delete boolean, document string")
     new = new.select(F.concat("id", F.lit("::v"), F.col("version")).alias("id"), F.col("id").alias("original_id"), "version", "source_version", "is_delete", "document")
     return new if before is None else before.unionByName(new)
 

@@ -174,45 +174,55 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 128))
 
 
-_FENCE = re.compile(r"^(```|~~~)")
+_FENCE = re.compile(r"^ {0,3}(```|~~~)")
+_BLANK = re.compile(r"^(?:[^\S\n]*\n)+")
+
+
+#: What stands for the title of a page without any text (fixed value).
+NO_TITLE = " "
 
 
 def chunk_markdown(text: str, most_bytes: int = 2000) -> list[str]:
-    """Chunks of a markdown page: first its title line, then its blocks, packed up to ``most_bytes``; a larger block stands alone
-    and is cut at lines, then at characters."""
-    lines = text.splitlines(keepends=True)
-    if not lines:
-        return []
-    blocks, block, fenced = [], "", False
-    for line in lines[1:]:
-        fenced ^= bool(_FENCE.match(line))
+    """Chunks of a markdown page: its first line that is not blank, then its blocks, packed up to ``most_bytes``; a larger block
+    stands alone and is cut at lines, then at characters. A blank page is one chunk, ``NO_TITLE``.
+
+    Lines end at line feeds only. Blank lines around a chunk are left out, indentation is kept.
+    """
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    title = next((n for n, line in enumerate(lines) if line.strip()), None)
+    if title is None:
+        return [NO_TITLE]
+    blocks, block, fence = [], "", ""
+    for line in lines[title + 1 :]:
+        if (m := _FENCE.match(line)) and fence in ("", m[1]):
+            fence = "" if fence else m[1]
         block += line
-        if not line.strip() and not fenced:
+        if not line.strip() and not fence:
             blocks.append(block)
             block = ""
-    out, size = [lines[0].strip()], lambda s: len(s.encode())
+    size = lambda s: len(s.encode())
     pieces: list[str] = []
     for b in [*blocks, block]:
         if size(b) <= most_bytes:
             pieces.append(b)
             continue
-        for line in b.splitlines(keepends=True):
+        for line in re.findall(r"[^\n]*\n|[^\n]+", b):
             while size(line) > most_bytes:
                 head = line.encode()[:most_bytes].decode(errors="ignore")
                 pieces.append(head)
                 line = line[len(head) :]
             pieces.append(line)
-    packed = ""
-    for p in pieces:
-        if packed and size(packed) + size(p) > most_bytes:
-            out.append(packed.strip())
+    out, packed = [lines[title].rstrip("\n")], ""
+    for p in [*pieces, None]:
+        if packed and (p is None or size(packed) + size(p) > most_bytes):
+            out.append(_BLANK.sub("", packed).rstrip())
             packed = ""
-        packed += p
-    return [c for c in [*out, packed.strip()] if c]
+        packed += p or ""
+    return [out[0], *filter(None, out[1:])]
 
 
 def chunks(df: DataFrame, key: str, text: str, most_bytes: int = 2000) -> DataFrame:
-    """(key, chunk, body): ``chunk_markdown`` of every text; null and empty ones have none."""
+    """(key, chunk, body): ``chunk_markdown`` of every text, chunk 0 being the title; null texts have none."""
     slim = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

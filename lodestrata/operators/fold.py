@@ -41,13 +41,14 @@ def log_presence(log: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def fold_log(log: DataFrame, base: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Live records (keys, last_seq, document, embedding, metadata) after ``log`` is applied to ``base``.
+    """Live records (keys, last_seq, first_seq, document, embedding, metadata) after ``log`` is applied to ``base``.
 
     ``log``: keys, ``_seq`` (long), ``_op``, ``document``, ``embedding``, ``metadata`` (JSON object; null values delete the
     key); ``base``: keys, document, embedding, metadata. ``_op`` ignores case; other operations than the four and rows
     without ``_seq`` or without the last of the keys have no effect. Null document, embedding or metadata provide nothing;
     unreadable metadata neither. Rows repeated with the same sequence number count once; should they differ, the larger
-    payload wins per field. ``last_seq`` is null where no log row took effect. Result metadata is a map of JSON texts.
+    payload wins per field. ``last_seq`` is null where no log row took effect, ``first_seq`` (the
+    operation that made the record live) where it has been live since the base. Result metadata is a map of JSON texts.
     """
     keys = list(keys)
     log = log.select(*keys, F.col("_seq").cast("long").alias("_seq"), F.lower("_op").alias("_op"), "document", "embedding", "metadata")
@@ -112,6 +113,7 @@ def _states(rows: DataFrame) -> DataFrame:
     return records.select(
         "_key",
         F.nullif(one(_SEQ)["_seq"], F.lit(BASE)).alias("last_seq"),
+        F.nullif(F.col("_g"), F.lit(BASE)).alias("first_seq"),
         one(_DOC)["text"].alias("document"),
         one(_EMB)["vec"].alias("embedding"),
         F.map_from_entries(F.array_sort(F.transform(kept, lambda f: F.struct(f["name"].alias("key"), f["v"]["text"].alias("value"))))).alias("metadata"),

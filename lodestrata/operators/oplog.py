@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..plans.chunks import CHUNK, join_carry, range_chunks, row_numbers, running_carry
+from ..plans.skew import fits
 from .fold import fold_log, log_presence
 
 INDEX_AND_WAL, INDEX_ONLY, BOUNDED_WAL = "index_and_wal", "index_only", "index_and_bounded_wal"
@@ -39,8 +40,12 @@ def partition_key(id: Column, chunk_siblings: bool = False) -> Column:
     return F.regexp_replace(id, r"-\d+$", "") if chunk_siblings else id
 
 
-def partition_log(log: DataFrame, partitions: int, chunk_siblings: bool = False, id: str = "id") -> DataFrame:
-    """The log with all operations of a record in one partition."""
+def partition_log(log: DataFrame, partitions: int | None = None, chunk_siblings: bool = False, id: str = "id", most_rows: int | None = None) -> DataFrame:
+    """The log with all operations of a record in one partition: of a number of partitions, or of as many as hold about
+    ``most_rows`` rows each (a record with more stays whole)."""
+    if (partitions is None) == (most_rows is None):
+        raise ValueError("give either partitions or most_rows")
+    partitions = max(1, -(-log.count() // most_rows)) if partitions is None else partitions
     return log.repartition(partitions, partition_key(F.col(id), chunk_siblings))
 
 
@@ -49,6 +54,16 @@ def shard_of(id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(id), F.lit(shards)).cast("int")
 
 
+def touched(log: DataFrame, segment: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The segment's records that the log has operations on (``left_anti``: the others)."""
+    ids = log.select(F.col("id").alias("_touched")).distinct()
+    return segment.join(F.broadcast(ids) if fits(ids) else ids, F.col("id") == F.col("_touched"), how)
+
+
+def _fold(log: DataFrame, segment: DataFrame) -> DataFrame:
+    return fold_log(log.select("id", F.col("log_offset").alias("_seq"), F.col("op").alias("_op"), "document", "embedding", "metadata"), segment.select("id", "document", "embedding", "metadata"), ["id"])
+
+
 def materialize(log: DataFrame, segment: DataFrame) -> DataFrame:
     """The touched records with their state after the log: id, offset_id, mat_op, last_log_offset, document, embedding, metadata.
 
@@ -61,8 +76,8 @@ def materialize(log: DataFrame, segment: DataFrame) -> DataFrame:
     last of the earlier chunks carried over, so no record's history has to fit a task.
     """
     log = log.withColumn("op", F.lower("op")).filter(F.col("op").isin("add", "update", "upsert", "delete") & F.col("id").isNotNull() & F.col("log_offset").isNotNull())
-    base = segment.select("id", "offset_id")
-    state = fold_log(log.select("id", F.col("log_offset").alias("_seq"), F.col("op").alias("_op"), "document", "embedding", "metadata"), segment.select("id", "document", "embedding", "metadata"), ["id"])
+    held = touched(log, segment)
+    base, state = held.select("id", "offset_id"), _fold(log, held)
 
     presence = log.filter("op <> 'update'").select("id", "log_offset", (F.col("op") == "delete").alias("_dead")).distinct()
     chunked = range_chunks(presence, ["id", "log_offset"])
@@ -83,13 +98,34 @@ def materialize(log: DataFrame, segment: DataFrame) -> DataFrame:
     return live.unionByName(gone.select("id", "offset_id", F.lit("delete_existing").alias("mat_op"), *map(none, ("last_log_offset", "document", "embedding", "metadata"))))
 
 
+def segment_records(segment: DataFrame) -> DataFrame:
+    """The records of a segment alone, as ``current_records`` gives them; nothing is folded."""
+    return segment.select("id", "offset_id", "document", "embedding", F.coalesce(M.from_json(F.col("metadata")), F.create_map().cast(M.META)).alias("metadata"))
+
+
+def segment_as_log(segment: DataFrame, shards: int | None = None, shard: int | None = None) -> DataFrame:
+    """The records of a segment as log rows, from which an index or another segment can be built anew: an add each, with the
+    offset id as its place; with ``shards``, by the shard of each record, of all shards or of ``shard`` only."""
+    out = segment.select("id", F.col("offset_id").alias("log_offset"), F.lit("add").alias("op"), "document", "embedding", "metadata")
+    if shards is None:
+        return out
+    out = out.withColumn("shard", shard_of(F.col("id"), shards))
+    return out.repartition("shard") if shard is None else out.filter(F.col("shard") == shard)
+
+
 def current_records(log: DataFrame, segment: DataFrame) -> DataFrame:
-    """All live records after the log: id, offset_id, document, embedding, metadata (META map)."""
+    """All live records after the log: id, offset_id, document, embedding, metadata (META map).
+
+    Only what the log touches is folded. A record that is not in the segment yet has the segment's largest offset id plus
+    the log offset that made it live: the order of the offset ids that ``materialize`` gives, without numbering anything.
+    """
     seg = segment.select("id", "offset_id", "document", "embedding", "metadata")
-    done = materialize(log, seg)
-    kept = seg.join(done.select("id"), "id", "left_anti").withColumn("metadata", F.coalesce(M.from_json(F.col("metadata")), F.create_map().cast(M.META)))
-    new = done.filter("mat_op <> 'delete_existing'").withColumn("metadata", M.from_json_values(F.col("metadata")))
-    return kept.unionByName(new.select("id", "offset_id", "document", "embedding", "metadata"))
+    held = touched(log, seg)
+    state = _fold(log, held).join(held.select("id", "offset_id"), "id", "left")
+    top = seg.agg(F.coalesce(F.max("offset_id"), F.lit(0)).alias("_top"))
+    place = F.coalesce("offset_id", F.col("_top") + F.col("first_seq")).alias("offset_id")
+    new = state.crossJoin(F.broadcast(top)).select("id", place, "document", "embedding", M.from_json_values(F.col("metadata")).alias("metadata"))
+    return segment_records(touched(log, seg, "left_anti")).unionByName(new)
 
 
 def count_records(log: DataFrame, segment: DataFrame) -> DataFrame:

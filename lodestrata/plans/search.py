@@ -18,10 +18,13 @@ from ..operators import where as W
 from ..operators.knn import knn
 from ..operators.rank import Knn, Rank, parse_rank, rank_rows
 from ..operators.sparse import idf, rescale, sparse_knn
+from .chunks import CHUNK, range_chunks, row_numbers
 
 #: Metadata key under which a record's URI travels.
 URI_KEY = "#uri"
 DEFAULT_RESULTS = 10
+#: Rows of a page that one window numbers.
+PAGE_ROWS = 100_000
 
 
 class PlanError(ValueError):
@@ -179,6 +182,10 @@ class Search:
         return replace(s, group=GroupBy.from_dict(d.get("group_by")))
 
 
+#: A search for the nearest of some records: (records, queries, k) to (query_id, id, distance, rank).
+Finder = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
 def filtered(records: DataFrame, where: W.Where | None = None, ids: Any = None, binding: W.Binding | None = None) -> DataFrame:
     """The records that satisfy the predicate and the allow-list; without either, ``records`` itself."""
     out = W.filter_ids(records, ids)
@@ -197,6 +204,13 @@ def paged(df: DataFrame, page: Limit, *order: Column) -> DataFrame:
     return out if page.limit is None else out.limit(page.limit)
 
 
+def numbered(rows: DataFrame, limit: int | None, *order: Column) -> DataFrame:
+    """``rows`` with their ``rank`` in a total order: of a page in one window, of more across range chunks."""
+    if limit is not None and limit <= PAGE_ROWS:
+        return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return row_numbers(range_chunks(rows, order), [], order, "rank").drop(CHUNK)
+
+
 def run_get(records: DataFrame, where: Any = None, where_document: Any = None, ids: Any = None, page: Limit = Limit(), include: Sequence[str] = ("documents", "metadatas")) -> DataFrame:
     """Records in natural order: id and the included columns."""
     columns = {"documents": "document", "metadatas": "metadata", "embeddings": "embedding"}
@@ -210,15 +224,16 @@ def run_get(records: DataFrame, where: Any = None, where_document: Any = None, i
     return paged(hit.select("offset_id", "id", *cols), page, F.col("offset_id").asc()).drop("offset_id")
 
 
-def run_knn(records: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, space: str = "l2", where: Any = None, where_document: Any = None, ids: Any = None, include: Sequence[str] = ("documents", "metadatas", "distances")) -> DataFrame:
+def run_knn(records: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, space: str = "l2", where: Any = None, where_document: Any = None, ids: Any = None, include: Sequence[str] = ("documents", "metadatas", "distances"), finder: Finder | None = None) -> DataFrame:
     """(query_id, rank, id, ...): the ``k`` nearest records for each of many query vectors under one filter.
 
-    The candidates are found on ids and vectors only; documents and metadata are joined to the few results.
+    The candidates are found on ids and vectors only, exactly or by ``finder`` (records, queries, k); documents and metadata
+    are joined to the few results.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise PlanError("the number of results must be a positive integer")
     hit = filtered(records, W.combined(where, where_document), ids)
-    found = knn(hit, queries, k, space, id="offset_id", vector="embedding").withColumnRenamed("id", "offset_id")
+    found = (knn(hit, queries, k, space, id="offset_id", vector="embedding") if finder is None else finder(hit, queries, k)).withColumnRenamed("id", "offset_id")
     columns = {"documents": "document", "metadatas": "metadata", "embeddings": "embedding"}
     body = hit.select("offset_id", "id", *[columns[i] for i in columns if i in include])
     cols = ["query_id", "rank", "id", *[columns[i] for i in columns if i in include], *(["distance"] if "distances" in include else [])]
@@ -283,16 +298,15 @@ def run_search(records: DataFrame, plan: Search, space: str = "l2", embed: Calla
         return sparse_knn(_postings(hit, x.key), asked, x.limit).select("id", "distance", "rank")
 
     if plan.rank_expr is None:
-        # Only the page is numbered, so no window over all records is needed.
         page = paged(hit.select("offset_id"), plan.page, F.col("offset_id").asc())
-        scored = page.withColumn("score", (F.row_number().over(Window.orderBy("offset_id")) - 1).cast("double"))
+        scored = numbered(page, plan.page.limit, F.col("offset_id").asc()).withColumn("score", (F.col("rank") - 1).cast("double")).drop("rank")
     else:
         empty = hit.select(F.col("offset_id").alias("id"), F.lit(0.0).alias("score"))
         scored = rank_rows(plan.rank_expr, leaf, empty).withColumnRenamed("id", "offset_id")
         if plan.group is not None:
             scored = regroup(scored.join(hit.select("offset_id", "metadata"), "offset_id"), plan.group).select("offset_id", "score")
         scored = paged(scored, plan.page, F.col("score").asc_nulls_last(), F.col("offset_id").asc())
-    scored = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").asc_nulls_last(), "offset_id")).cast("long"))
+    scored = numbered(scored, plan.page.limit, F.col("score").asc_nulls_last(), F.col("offset_id").asc())
     return project(scored.join(hit, "offset_id"), plan.fields)
 
 

@@ -2,7 +2,7 @@
 
 Each collection has an append-only log (Parquet folders named by their first offset), immutable segment snapshots (one Parquet
 folder per version) and numbered version documents, the newest of which is the collection's state. A commit creates the next
-version document; creation fails if another writer was first, so commits are atomic and lost updates impossible.
+version document; creation fails if another writer was first (``Storage.write``), so commits are atomic and no update is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import metadata as M
+from ..operators.cells import CellIndex
 from .storage import Storage
 
 DEFAULT_TENANT, DEFAULT_DATABASE = "default_tenant", "default_database"
@@ -47,6 +48,7 @@ class Version:
     log_end: int = 0
     logs: tuple[str, ...] = ()
     segment: str | None = None
+    index: str | None = None
     total_records: int = 0
     forked_from: str | None = None
     functions: dict[str, dict[str, Any]] = field(default_factory=dict)
@@ -71,13 +73,13 @@ class Catalog:
 
     # tenants and databases
     def create_tenant(self, name: str, exist_ok: bool = False) -> None:
-        if not self.store.write({"name": name}, "tenants", name, "_tenant.json", new=True) and not exist_ok:
+        if not self.store.write({"name": name}, "tenants", name, "_tenant.json") and not exist_ok:
             raise CatalogError(f"tenant {name!r} exists")
 
     def create_database(self, name: str, tenant: str = DEFAULT_TENANT, exist_ok: bool = False) -> None:
         if not self.store.exists("tenants", tenant, "_tenant.json"):
             raise CatalogError(f"no tenant {tenant!r}")
-        if not self.store.write({"name": name, "tenant": tenant}, "tenants", tenant, name, "_database.json", new=True) and not exist_ok:
+        if not self.store.write({"name": name, "tenant": tenant}, "tenants", tenant, name, "_database.json") and not exist_ok:
             raise CatalogError(f"database {name!r} exists")
 
     def list_databases(self, tenant: str = DEFAULT_TENANT) -> list[str]:
@@ -103,7 +105,7 @@ class Catalog:
         M.validate(metadata or {})
         v = Version(uuid.uuid4().hex, name, tenant, database, metadata=dict(metadata or {}), config=dict(config or {}))
         self._write_version(v)
-        if not self.store.write({"id": v.id}, *self._pointer(name, tenant, database), new=True):
+        if not self.store.write({"id": v.id}, *self._pointer(name, tenant, database)):
             self.store.delete("collections", v.id)
             if get_or_create:
                 return self.get_collection(name, tenant, database)
@@ -111,7 +113,7 @@ class Catalog:
         return v
 
     def _write_version(self, v: Version) -> None:
-        if not self.store.write(asdict(v), "collections", v.id, "versions", f"{v.version:012d}.json", new=True):
+        if not self.store.write(asdict(v), "collections", v.id, "versions", f"{v.version:012d}.json"):
             raise Conflict(f"version {v.version} of {v.name!r} was committed by another writer")
 
     def versions(self, id: str) -> list[int]:
@@ -153,7 +155,7 @@ class Catalog:
         M.validate(metadata or {})
         if name is not None and name != v.name:
             check_name(name)
-            if not self.store.write({"id": v.id}, *self._pointer(name, v.tenant, v.database), new=True):
+            if not self.store.write({"id": v.id}, *self._pointer(name, v.tenant, v.database)):
                 raise CatalogError(f"collection {name!r} exists")
             self.store.delete(*self._pointer(v.name, v.tenant, v.database))
         return self.commit(v, name=name or v.name, metadata=dict(v.metadata if metadata is None else metadata))
@@ -169,7 +171,7 @@ class Catalog:
         check_name(name)
         f = replace(v, id=uuid.uuid4().hex, name=name, version=0, forked_from=v.id, functions={})
         self._write_version(f)
-        if not self.store.write({"id": f.id}, *self._pointer(name, v.tenant, v.database), new=True):
+        if not self.store.write({"id": f.id}, *self._pointer(name, v.tenant, v.database)):
             self.store.delete("collections", f.id)
             raise CatalogError(f"collection {name!r} exists")
         return f
@@ -181,27 +183,30 @@ class Catalog:
     def restore(self, v: Version, version: int) -> Version:
         """A new version with the contents of an older one."""
         old = self.at_version(v.id, version)
-        keep = ("metadata", "dimension", "log_position", "log_end", "logs", "segment", "total_records")
+        keep = ("metadata", "dimension", "log_position", "log_end", "logs", "segment", "index", "total_records")
         return self.commit(v, **{k: getattr(old, k) for k in keep})
 
-    def collect_garbage(self, keep: int = 2) -> list[str]:
-        """Drop all but the last ``keep`` versions of each collection, and the files that no kept version of any names."""
+    def collect_garbage(self, keep: int = 2, older_than: float = 86_400.0) -> list[str]:
+        """Drop all but the last ``keep`` versions of each collection, and the files that no kept version of any names.
+
+        Files that were changed within ``older_than`` seconds stay: a writer may have them ready for a commit.
+        """
         ids, used, dropped = self.store.list("collections"), set(), []
         for c in ids:
             kept = self.versions(c)
-            dead = self.at_version(c).deleted
+            dead = self.at_version(c).deleted if kept else True
             for n in kept if dead else kept[:-keep]:
                 self.store.delete("collections", c, "versions", f"{n:012d}.json")
             for n in [] if dead else kept[-keep:]:
                 v = self.at_version(c, n)
-                used.update(v.logs, [v.segment] if v.segment else [])
-        for kind in ("logs", "segments"):
+                used.update(v.logs, [x for x in (v.segment, v.index) if x], [f["output"] for f in v.functions.values() if f.get("output")])
+        for kind in ("logs", "segments", "indexes", "functions"):
             for n in self.store.list(kind):
-                if f"{kind}/{n}" not in used:
+                if f"{kind}/{n}" not in used and self.store.age(kind, n) >= older_than:
                     self.store.delete(kind, n)
                     dropped.append(f"{kind}/{n}")
         for c in ids:
-            if not self.versions(c):
+            if not self.versions(c) and self.store.age("collections", c) >= older_than:
                 self.store.delete("collections", c)
         return dropped
 
@@ -222,6 +227,16 @@ class Catalog:
         rows.select("id", "log_offset", "op", "document", "embedding", "metadata").write.parquet(self.store.path(name))
         return name
 
+    def read_index(self, v: Version) -> CellIndex | None:
+        """The cell index over the folded records, if there is one; its ids are offset ids."""
+        return CellIndex.read(self.spark, self.store.path(v.index)) if v.index else None
+
+    def write_index(self, index: CellIndex) -> str:
+        """Write a cell index and give its name."""
+        name = f"indexes/{uuid.uuid4().hex}"
+        index.write(self.store.path(name))
+        return name
+
     def write_segment(self, rows: DataFrame) -> str:
         """Write a snapshot of records and give its name."""
         name = f"segments/{uuid.uuid4().hex}"

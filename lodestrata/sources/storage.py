@@ -1,13 +1,23 @@
-"""Small state files on any Hadoop file system, replaced atomically."""
+"""Small state files on Hadoop file systems that can create a file atomically."""
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 
+#: File systems whose rename is one step and fails if there is such a file, and the setting that vouches for a single writer.
+ATOMIC_RENAME, ONE_WRITER = ("hdfs", "viewfs", "webhdfs", "abfs", "abfss"), "lodestrata.catalog.one_writer"
+
+
+class NotAtomic(ValueError):
+    """The file system cannot keep two writers apart."""
+
+
 class Storage:
     """JSON documents and directories under a root path."""
 
@@ -37,31 +47,46 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, value: Any, *parts: str, new: bool = False) -> bool:
-        """Write a document; with ``new`` only if there is none yet (False otherwise), which makes it a lock on a version."""
+    def write(self, value: Any, *parts: str) -> bool:
+        """Write a document unless there is one (False then), which makes it a lock on a version.
+
+        The content goes to a file of its own first, which then gets the name, in one step that fails if the name is taken:
+        a hard link on local disks, a rename on the file systems of ``ATOMIC_RENAME``. Others, object stores among them,
+        only check before they write, so they are refused unless ``ONE_WRITER`` is set in the session.
+        """
         fs, p = self._fs(self.path(*parts))
-        data = bytearray(json.dumps(value).encode())
-        if new:
+        scheme = fs.getUri().getScheme()
+        if scheme != "file" and scheme not in ATOMIC_RENAME and self.spark.conf.get(ONE_WRITER, "false") != "true":
+            raise NotAtomic(f"{scheme} files cannot be created atomically; set {ONE_WRITER} if there is one writer only")
+        if fs.exists(p):
+            return False
+        path = self.path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
+        _, tmp = self._fs(path)
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        try:
+            if scheme != "file":
+                return bool(fs.rename(tmp, p))
+            local = lambda x: fs.makeQualified(x).toUri().getPath()
             try:
-                out = fs.create(p, False)
-            except Exception as e:  # Py4J wraps the file system's own exceptions
-                if "exist" in str(e):
-                    return False
-                raise
-            out.write(data)
-            out.close()
+                os.link(local(tmp), local(p))
+            except FileExistsError:
+                return False
             return True
-        _, tmp = self._fs(self.path(*parts) + ".new")
-        out = fs.create(tmp, True)
-        out.write(data)
-        out.close()
-        fs.delete(p, False)
-        return bool(fs.rename(tmp, p))
+        finally:
+            fs.delete(tmp, False)
+
+    def age(self, *parts: str) -> float:
+        """Seconds since a file or directory was changed."""
+        fs, p = self._fs(self.path(*parts))
+        return (self._jvm.java.lang.System.currentTimeMillis() - fs.getFileStatus(p).getModificationTime()) / 1000.0
 
     def list(self, *parts: str) -> list[str]:
         """Names in a directory; none if there is no such directory."""
         fs, p = self._fs(self.path(*parts))
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        names = (s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else ()
+        return sorted(n for n in names if not n.startswith("."))
 
     def delete(self, *parts: str) -> None:
         fs, p = self._fs(self.path(*parts))

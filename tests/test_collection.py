@@ -1,12 +1,18 @@
+import json
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 import pytest
 
 from lodestrata.collection import Collection
 from lodestrata.functions import incremental
 from lodestrata.functions import metadata as M
+from lodestrata.operators import oplog
 from lodestrata.operators.rank import Knn
 from lodestrata.operators.where import K
 from lodestrata.plans.search import Search
 from lodestrata.sources.catalog import Catalog, CatalogError, Conflict
+from lodestrata.sources.storage import Storage
 
 
 @pytest.fixture()
@@ -108,9 +114,9 @@ def test_forks_versions_and_garbage(catalog):
     c.compact()
     c.version = catalog.restore(c.version, first)
     assert docs(c.get()) == {"a": "1"}
-    assert catalog.collect_garbage(keep=1) and docs(c.get()) == {"a": "1"} and docs(f.get()) == {"a": "1", "b": "2"}
+    assert catalog.collect_garbage(keep=1, older_than=0) and docs(c.get()) == {"a": "1"} and docs(f.get()) == {"a": "1", "b": "2"}
     catalog.delete_collection("copy")
-    catalog.collect_garbage(keep=1)
+    catalog.collect_garbage(keep=1, older_than=0)
     assert catalog.fork_count(c.version.id) == 0 and docs(c.get()) == {"a": "1"}
 
 
@@ -204,3 +210,86 @@ def test_results_loader_and_schedule(spark, catalog, tmp_path):
     assert {r["id"]: r["content"] and bytes(r["content"]) for r in load_uris(spark, recs, str(tmp_path / "img")).collect()} == {1: b"\x00\x01", 2: None, 3: None}
     waiting = spark.createDataFrame([("a", 50, 3), ("b", 5, 1), ("c", 10, 2), ("d", 99, 9)], "collection string, waiting int, oldest int")
     assert [r[0] for r in due(waiting, 2).collect()] == ["c", "a"] and [r[0] for r in due(waiting, 9, skip=["c"]).collect()] == ["a", "d"]
+
+
+def test_an_index_is_built_and_kept_by_compaction(catalog, spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)).round(3)
+    config = {"space": "cosine", "index": {"cell_rows": 40, "probes": 1000, "rerank": 200}}
+    c = Collection(catalog, catalog.create_collection("cells", config=config))
+    plain = Collection(catalog, catalog.create_collection("plain", config={"space": "cosine"}))
+    frame = lambda lo, hi: spark.createDataFrame([(f"r{i:03d}", f"t{i}", x[i].tolist(), json.dumps({"n": i % 5})) for i in range(lo, hi)], "id string, document string, embedding array<double>, metadata string")
+
+    def same(level="index_and_wal", **kw):
+        got, want = ({(r["query_id"], r["rank"], r["id"]) for r in y.query(query_embeddings=x[:12].tolist(), n_results=4, level=level, **kw).collect()} for y in (c, plain))
+        assert got == want and got
+
+    for y in (c, plain):
+        y.write_frame(frame(0, 250))
+        y.compact()
+    assert c.version.index and plain.version.index is None
+    same()
+    for y in (c, plain):
+        y.write_frame(frame(250, 400))
+        y.delete(ids=["r000", "r251"])
+        y.update(ids=["r005"], embeddings=[x[6].tolist()])
+    same()
+    same(level="index_only")
+    same(where={"n": 3})
+    first = c.version.index
+    for y in (c, plain):
+        y.compact()
+    assert c.version.index != first
+    same()
+    kept = catalog.read_index(c.version)
+    assert kept.rows.select("id").distinct().count() == 398 and kept.rows.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 400
+
+
+def test_frames_are_checked_and_vectorised_as_lists_are(catalog, spark):
+    config = {"embedding_function": {"name": "hashing"}, "sparse": {"key": "bm25"}}
+    a, b = (Collection(catalog, catalog.create_collection(n, config=config)) for n in ("lists", "frames"))
+    texts = ["red apples", "blue sky over apples", None]
+    a.upsert(["x", "y", "z"], documents=texts, embeddings=[None, None, [0.0] * 64], metadatas=[{"k": 1}, {"k": 2}, {"k": 3}])
+    rows = [("x", texts[0], None, '{"k": 1}'), ("y", texts[1], None, '{"k": 2}'), ("z", None, [0.0] * 64, '{"k": 3}'), (None, "no id", None, None)]
+    schema = "id string, document string, embedding array<float>, metadata string"
+    assert b.write_frame(spark.createDataFrame(rows, schema)) == 3
+    both = [sorted((r["id"], tuple(r["embedding"]), str(sorted(r["metadata"].items()))) for r in y.get(include=("embeddings", "metadatas")).collect()) for y in (a, b)]
+    assert both[0] == both[1]
+    for bad in ([rows[0], rows[0]], [("w", None, [1.0, 2.0], None)]):
+        with pytest.raises(ValueError):
+            b.write_frame(spark.createDataFrame(bad, schema))
+    with pytest.raises(ValueError):
+        b.write_frame(spark.createDataFrame([("w", None, None, None)], schema), "add")
+    assert b.write_frame(spark.createDataFrame([], schema)) == 0
+
+
+def test_files_are_created_once_and_young_garbage_stays(spark, tmp_path):
+    store = Storage(spark, str(tmp_path / "s"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: store.write({"n": n}, "a", "b.json"), range(16)))
+    assert sum(won) == 1 and store.read("a", "b.json") == {"n": won.index(True)} and store.list("a") == ["b.json"]
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    rows = spark.createDataFrame([], "id string, log_offset bigint, op string, document string, embedding array<float>, metadata string")
+    name = catalog.write_log(rows)
+    assert catalog.collect_garbage() == [] and catalog.collect_garbage(older_than=0) == [name]
+
+
+def test_vector_keys_are_checked(catalog):
+    c = Collection(catalog, catalog.create_collection("gate", config={"sparse": {"key": "bm25"}, "embedding_function": {"name": "hashing"}}))
+    c.upsert(["a"], documents=["red apples"])
+    assert c.search({"rank": {"$knn": {"query": "apples", "key": "bm25"}}}).count() == 1
+    with pytest.raises(ValueError):
+        c.search({"rank": {"$knn": {"query": {"indices": [1], "values": [1.0]}, "key": "other"}}})
+
+
+def test_a_segment_as_log_and_partitions_of_a_size(catalog, spark):
+    c = Collection(catalog, catalog.create_collection("again"))
+    c.add([f"r{i}" for i in range(30)], embeddings=[[float(i)] for i in range(30)])
+    c.compact()
+    segment = catalog.read_segment(c.version)
+    log = oplog.segment_as_log(segment)
+    anew = oplog.materialize(log, segment.limit(0))
+    assert {(r["id"], r["mat_op"]) for r in anew.collect()} == {(f"r{i}", "add_new") for i in range(30)}
+    parts = [oplog.segment_as_log(segment, 3, n) for n in range(3)]
+    assert sum(p.count() for p in parts) == 30 and oplog.segment_as_log(segment, 3).select("shard").distinct().count() == 3
+    assert oplog.partition_log(log, most_rows=10).rdd.getNumPartitions() == 3
