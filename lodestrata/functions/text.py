@@ -164,9 +164,18 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return stemmed(raw_tokens(text)) if stem else raw_tokens(text)
 
 
+def grams(text: Column) -> Column:
+    """The character trigrams of a text in order, in time linear in its length; none below three characters."""
+    chars = F.split(text, "")
+    n = F.size(chars)
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
+    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), n), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= 3, F.slice(triples, F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+
 def trigrams(text: Column) -> Column:
     """All distinct character trigrams of a text; none below three characters."""
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(grams(text))
 
 
 def words(text: Column) -> Column:

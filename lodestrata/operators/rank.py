@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .where import EMBEDDING
@@ -246,3 +246,24 @@ def rank_rows(r: Rank, knn_leaf: Callable[[Knn], DataFrame], empty: DataFrame) -
     """(id, score) of the expression's support; a constant alone has none (``empty``: id, score)."""
     found = evaluate(r, knn_leaf).frame
     return empty.limit(0) if found is None else found
+
+
+def fuse(lists: Sequence[DataFrame], weights: Sequence[float] | None = None, k: float = 60.0, default: float | None = None, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): reciprocal rank fusion of many queries at once, the ``limit`` best of each.
+
+    ``lists`` have query_id, id and rank (from 1) with at most one row per query and id. The score is minus the sum of
+    ``weight / (k + rank - 1)``; a list without the id counts as ``weight / (k + default)``, or nothing. Ties go to the smaller
+    id. The lists are summed in one aggregation, whatever their number; nothing is joined.
+    """
+    weights = [1.0] * len(lists) if weights is None else list(weights)
+    if len(weights) != len(lists) or not lists:
+        raise RankError("lists and weights differ in number")
+    kinds = list(zip(lists, weights, strict=True))
+    rows = [x.select("query_id", "id", (F.lit(w) / (k + F.col("rank") - 1)).alias("_s"), F.lit(w).alias("_w")) for x, w in kinds]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    missing = F.lit(0.0) if default is None else (F.lit(float(sum(weights))) - F.sum("_w")) / (k + default)
+    summed = every.groupBy("query_id", "id").agg((-(F.sum("_s") + missing)).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 12), "id")
+    return summed.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
