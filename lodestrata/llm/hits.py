@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import checkpointed, range_chunks, row_numbers
 from ..plans.skew import counted_join, lookup
-from .topn import tie_order, top_n
+from .topn import heavy_limit, tie_order, top_n
 
 #: Columns of a hit that may group or be aggregated: as numbers, and as texts.
 NUMBERS = ("score", "pub_year", "priority", "leaf_dense", "leaf_sparse", "leaf_age", "leaf_clicks", "offset_id", "shard_index")
@@ -60,7 +59,31 @@ def grouped_top_k(hits: DataFrame, searches: DataFrame, heavy_rows: int | None =
     return ranked.select("search_id", "offset_id", F.col("_rank").alias("rank"))
 
 
-def component_ranking(items: DataFrame, group: str, item: str, leaves: dict[str, bool], least_loading: float = LEAST_LOADING) -> DataFrame:
+def _light_ranks(sized: DataFrame, group: str, item: str, names: Sequence[str]) -> DataFrame:
+    """(group, item, _size, _r0, ...): mean ranks of the leaves' values within each group, null for null."""
+    rows = sized.repartition(group)
+
+    def rank(c: str) -> Column:
+        first = F.rank().over(Window.partitionBy(group).orderBy(F.col(c).asc_nulls_last()))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(group, c))
+        return F.when(F.col(c).isNotNull(), first + (ties - 1) / 2)
+
+    return rows.select(group, item, "_size", *[rank(c).alias(f"_r{i}") for i, c in enumerate(names)])
+
+
+def _heavy_ranks(sized: DataFrame, group: str, item: str, names: Sequence[str]) -> DataFrame:
+    """The same across range chunks."""
+    long = sized.select(group, item, F.explode(F.array(*[F.struct(F.lit(i).alias("_leaf"), F.col(c).alias("_v")) for i, c in enumerate(names)])).alias("_x")).select(group, item, "_x.*")
+    values = long.filter("_v is not null").groupBy(group, "_leaf", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = row_numbers(range_chunks(values, [group, "_leaf", "_v"]), [group, "_leaf"], [F.col("_v").asc()], "_upto", F.col("_n"))
+    ranks = checkpointed(numbered.select(group, "_leaf", "_v", "_n", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank")))
+    ranked = counted_join(long.filter("_v is not null"), ranks, [group, "_leaf", "_v"], "_n", F.col(item))
+    wide = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("_leaf") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(names))])
+    missing = sized.filter(" and ".join(f"`{c}` is null" for c in names)).select(group, item, *[F.lit(None).cast("double").alias(f"_r{i}") for i in range(len(names))])
+    return lookup(wide.unionByName(missing), sized.select(group, "_size").distinct(), [group], "inner", salt=F.col(item))
+
+
+def component_ranking(items: DataFrame, group: str, item: str, leaves: dict[str, bool], least_loading: float = LEAST_LOADING, heavy_rows: int | None = None) -> DataFrame:
     """(group, item, key): one ranking key per item and group from several leaves; smaller is better.
 
     ``leaves`` maps each score column to whether larger is better. Within a group every leaf is replaced by its ranks (ties
@@ -70,22 +93,20 @@ def component_ranking(items: DataFrame, group: str, item: str, leaves: dict[str,
     component is arbitrary, and a leaf must not drop out. A leaf that is constant in a group has no say there; if all are,
     all keys are 0. Repeated items must agree and count once. A null group or item is a value of its own.
 
-    Ranks are exact for groups of any size: distinct values with their counts are range-partitioned and numbered across
-    chunks, then joined back with hot values salted. The correlation matrices are sums per group (partial aggregation).
+    Ranks are exact for groups of any size: light groups (see ``topn``) are ranked by windows after one shuffle for all leaves;
+    of heavy ones distinct values with their counts are range-partitioned and numbered across chunks, then joined back with
+    hot values salted. The correlation matrices are sums per group (partial aggregation).
     """
     names = list(leaves)
     once = checkpointed(items.groupBy(group, item).agg(*[F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) * (-1.0 if leaves[c] else 1.0)).alias(c) for c in names]))
-    long = once.select(group, item, F.explode(F.array(*[F.struct(F.lit(i).alias("_leaf"), F.col(c).alias("_v")) for i, c in enumerate(names)])).alias("_x")).select(group, item, "_x.*")
-
-    values = long.filter("_v is not null").groupBy(group, "_leaf", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = row_numbers(range_chunks(values, [group, "_leaf", "_v"]), [group, "_leaf"], [F.col("_v").asc()], "_upto", F.col("_n"))
-    ranks = checkpointed(numbered.select(group, "_leaf", "_v", "_n", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank")))
-    sizes = once.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-
-    ranked = counted_join(long.filter("_v is not null"), ranks, [group, "_leaf", "_v"], "_n", F.col(item))
-    wide = ranked.groupBy(group, item).agg(*[F.max(F.when(F.col("_leaf") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(names))])
-    missing = once.filter(" and ".join(f"`{c}` is null" for c in names)).select(group, item, *[F.lit(None).cast("double").alias(f"_r{i}") for i in range(len(names))])
-    wide = lookup(wide.unionByName(missing), sizes, [group], "inner", salt=F.col(item))
+    # Ranks, in one shuffle of whole groups where these are light, across range chunks where they are heavy.
+    sizes = checkpointed(once.groupBy(group).agg(F.count(F.lit(1)).alias("_size")))
+    if heavy_rows is None:
+        heavy_rows = heavy_limit(sizes.agg(F.sum("_size")).first()[0] or 0)
+    sized = lookup(once, sizes, [group], "inner", salt=F.col(item))
+    wide = _light_ranks(sized.filter(F.col("_size") <= heavy_rows), group, item, names)
+    if sizes.filter(F.col("_size") > heavy_rows).limit(1).count():
+        wide = wide.unionByName(_heavy_ranks(sized.filter(F.col("_size") > heavy_rows), group, item, names))
     r = [f"_r{i}" for i in range(len(names))]
     # Ranks relative to the size, centred near 0, keep the sums of products exact enough.
     wide = checkpointed(wide.select(group, item, *[(F.coalesce(c, "_size") / F.col("_size") - 0.5).alias(c) for c in r]))
@@ -125,7 +146,7 @@ def component(cov: np.ndarray, least: float) -> np.ndarray:
 
 def first_wanted(hits: DataFrame, searches: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """(search_id, offset_id, rank, key): the first ``want`` records of each search by ``component_ranking``."""
-    keys = component_ranking(hits, "search_id", "offset_id", {"leaf_dense": False, "leaf_sparse": True, "leaf_age": False, "leaf_clicks": True})
+    keys = component_ranking(hits, "search_id", "offset_id", {"leaf_dense": False, "leaf_sparse": True, "leaf_age": False, "leaf_clicks": True}, heavy_rows=heavy_rows)
     wants = searches.filter("want > 0").select("search_id", "want").dropDuplicates(["search_id"])
     r = checkpointed(lookup(keys, wants, ["search_id"], "inner", salt=F.col("offset_id")))
     return top_n(r, ["search_id"], [F.col("key").asc(), F.col("offset_id").asc()], "want", heavy_rows, rank="rank").drop("want")

@@ -70,7 +70,8 @@ def test_component_orients_and_lifts_loadings():
     assert np.allclose(w, [0.5**0.5, 0.5**0.5, 0.25]) and not component(np.zeros((2, 2)), 0.25).any()
 
 
-def test_first_wanted_counts_all_leaves_alike(spark):
+@pytest.mark.parametrize("heavy", [None, 10])
+def test_first_wanted_counts_all_leaves_alike(spark, heavy):
     rng = random.Random(5)
     hits, planted = [], set()
     for s in (1, 2):
@@ -83,13 +84,14 @@ def test_first_wanted_counts_all_leaves_alike(spark):
             hits += [hit(s, o, None, leaves=leaves)] * rng.choice([1, 2])
             if good:
                 planted.add((s, o))
-    got = first_wanted(spark.createDataFrame(hits, HITS), spark.createDataFrame([(1, [], "$min_k", "#score", 1, 6), (2, [], "$min_k", "#score", 1, 6), (3, [], "$min_k", "#score", 1, 6)], SEARCHES))
+    got = first_wanted(spark.createDataFrame(hits, HITS), spark.createDataFrame([(1, [], "$min_k", "#score", 1, 6), (2, [], "$min_k", "#score", 1, 6), (3, [], "$min_k", "#score", 1, 6)], SEARCHES), heavy)
     assert {(r["search_id"], r["offset_id"]) for r in got.collect()} == planted
 
 
-def test_ranks_of_ties_nulls_and_constant_leaves(spark):
+@pytest.mark.parametrize("heavy", [None, 0])
+def test_ranks_of_ties_nulls_and_constant_leaves(spark, heavy):
     df = spark.createDataFrame([("g", 1, 1.0, None, 5.0), ("g", 2, 1.0, 2.0, 5.0), ("g", 3, 3.0, 1.0, 5.0), (None, 4, None, None, None)], "g string, i int, a double, b double, c double")
-    keys = {(r["g"], r["i"]): r["key"] for r in component_ranking(df, "g", "i", {"a": False, "b": True, "c": False}).collect()}
+    keys = {(r["g"], r["i"]): r["key"] for r in component_ranking(df, "g", "i", {"a": False, "b": True, "c": False}, heavy_rows=heavy).collect()}
     assert len(keys) == 4 and keys[None, 4] == 0.0 and keys["g", 2] < keys["g", 1] and keys["g", 2] < keys["g", 3]
 
 
@@ -105,3 +107,11 @@ def test_hot_half_by_default(spark):
     assert "_chunk" in out._jdf.queryExecution().toString()
     rows = sorted(df.collect(), key=lambda r: (r["v"], r["id"]))
     assert sorted(r["id"] for r in out.collect()) == sorted(r["id"] for g in (True, False) for r in [x for x in rows if x["g"] == g][:25])
+
+
+def test_light_and_heavy_groups_are_ranked_alike(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), n, *[rng.choice([None, float(rng.randrange(6)), float("nan")]) for _ in range(3)]) for n in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, a double, b double, c double")
+    light, heavy = ({(r["g"], r["i"], r["key"]) for r in component_ranking(df, "g", "i", {"a": False, "b": True, "c": True}, heavy_rows=n).collect()} for n in (1000, 0))
+    assert light == heavy and len(light) == 200
