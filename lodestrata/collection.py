@@ -233,10 +233,12 @@ class Collection:
         return out[0] if one else out
 
     # maintenance
-    def compact(self) -> Version:
-        """Fold the log into a new segment, run the attached functions over its changes, and publish both as one version."""
+    def compact(self, most_rows: int | None = None) -> Version:
+        """Fold the log, or the first ``most_rows`` operations of it, into a new segment and its index, run the attached functions
+        over the changes, and publish all as one version."""
         v = self.version
-        log, segment = self.catalog.read_log(v), self.catalog.read_segment(v)
+        upto = v.log_end if most_rows is None else min(v.log_end, v.log_position + most_rows)
+        log, segment = oplog.fetch_log(self.catalog.read_log(v), v.log_position, upto), self.catalog.read_segment(v)
         done = oplog.materialize(log, segment).persist()
         try:
             text = F.to_json(F.transform_values("metadata", lambda _, x: F.parse_json(x)))
@@ -246,7 +248,7 @@ class Collection:
             index = self._index_of(done, name)
             functions = {k: {**f, "output": self._run_function(f, changed, log)} for k, f in v.functions.items()}
             total = self.catalog.spark.read.parquet(self.catalog.store.path(name)).count()
-            self.version = self.catalog.commit(v, segment=name, index=index, log_position=v.log_end, logs=(), total_records=total, functions=functions)
+            self.version = self.catalog.commit(v, segment=name, index=index, log_position=upto, logs=() if upto == v.log_end else v.logs, total_records=total, functions=functions)
         finally:
             done.unpersist()
         return self.version

@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pytest
 
+from lodestrata import maintenance
 from lodestrata.collection import Collection
 from lodestrata.functions import incremental
 from lodestrata.functions import metadata as M
@@ -293,3 +294,14 @@ def test_a_segment_as_log_and_partitions_of_a_size(catalog, spark):
     parts = [oplog.segment_as_log(segment, 3, n) for n in range(3)]
     assert sum(p.count() for p in parts) == 30 and oplog.segment_as_log(segment, 3).select("shard").distinct().count() == 3
     assert oplog.partition_log(log, most_rows=10).rdd.getNumPartitions() == 3
+
+
+def test_a_compaction_loop_works_off_the_longest_waiting(catalog):
+    for n, size in (("few", 3), ("many", 25)):
+        c = Collection(catalog, catalog.create_collection(n))
+        c.add([f"r{i}" for i in range(size)], embeddings=[[float(i)] for i in range(size)], documents=[str(i) for i in range(size)])
+    assert maintenance.compact_due(catalog, most_rows=15) == ["many"]
+    c = Collection(catalog, catalog.get_collection("many"))
+    assert c.version.log_position == 15 and c.version.total_records == 15 and c.get().count() == 25
+    assert maintenance.run(catalog, rounds=2, pause=0.0, most_rows=15) == 1 and c.refresh().version.total_records == 25
+    assert maintenance.compact_due(catalog) == [] and catalog.get_collection("few").log_position == 0
