@@ -298,6 +298,26 @@ class Collection:
             raise CatalogError(f"{name!r} is not attached")
         return self.catalog.spark.read.parquet(self.catalog.store.path(f["output"])) if f["output"] else None
 
+    def add_input(self, name: str, other: Collection) -> None:
+        """Run an attached function over the changes of another collection too; each input keeps its own output."""
+        f = self.version.functions.get(name)
+        if f is None:
+            raise CatalogError(f"{name!r} is not attached")
+        other.attach_function(name, f["function"], **f["params"])
+        inputs = [*f.get("inputs", []), other.version.id]
+        self.version = self.catalog.commit(self.version, functions={**self.version.functions, name: {**f, "inputs": inputs}})
+
+    def function_outputs(self, name: str) -> DataFrame | None:
+        """The outputs of a function over all its inputs, with the name of the collection as ``input``."""
+        out = None
+        every = [self.version, *(self.catalog.at_version(i) for i in self.version.functions[name].get("inputs", []))]
+        for c in (Collection(self.catalog, v) for v in every if not v.deleted and name in v.functions):
+            part = c.function_output(name)
+            if part is not None:
+                part = part.withColumn("input", F.lit(c.version.name))
+                out = part if out is None else out.unionByName(part)
+        return out
+
     def indexing_status(self) -> DataFrame:
         """Operations folded and not, and the progress."""
         done, end = self.version.log_position, self.version.log_end

@@ -305,3 +305,17 @@ def test_a_compaction_loop_works_off_the_longest_waiting(catalog):
     assert c.version.log_position == 15 and c.version.total_records == 15 and c.get().count() == 25
     assert maintenance.run(catalog, rounds=2, pause=0.0, most_rows=15) == 1 and c.refresh().version.total_records == 25
     assert maintenance.compact_due(catalog) == [] and catalog.get_collection("few").log_position == 0
+
+
+def test_a_function_over_several_inputs(catalog):
+    a, b = (Collection(catalog, catalog.create_collection(n)) for n in ("first", "second"))
+    a.attach_function("n", "record_counter")
+    a.add_input("n", b)
+    for c, n in ((a, 2), (b, 3)):
+        c.add([f"r{i}" for i in range(n)], embeddings=[[float(i)] for i in range(n)])
+    a.compact()
+    assert {(r["input"], r["total_count"]) for r in a.function_outputs("n").collect()} == {("first", 2)}
+    b.compact()
+    assert {(r["input"], r["total_count"]) for r in a.function_outputs("n").collect()} == {("first", 2), ("second", 3)}
+    with pytest.raises(CatalogError):
+        a.add_input("none", b)
