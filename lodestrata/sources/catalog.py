@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import metadata as M
+from ..functions.distance import SPACES
 from ..operators.cells import CellIndex
 from .storage import Storage
 
@@ -62,6 +63,27 @@ def check_name(name: str) -> None:
         raise CatalogError(f"bad collection name {name!r}")
 
 
+#: Options of a graph index (name: smallest value); they are checked and kept, and change nothing: such searches are exact.
+GRAPH = {"ef_construction": 1, "ef_search": 1, "max_neighbors": 1, "num_threads": 1, "batch_size": 2, "sync_threshold": 2, "resize_factor": 1}
+#: Options of the cell index (name: smallest value).
+CELLS = {"cell_rows": 1, "probes": 1, "rerank": 1, "replicas": 1, "epsilon": 0}
+
+
+def check_config(config: Mapping[str, Any]) -> None:
+    """Raise CatalogError for an unknown space, and for unknown or too small options of an index (``graph`` or ``index``)."""
+    if config.get("space", "l2") not in SPACES:
+        raise CatalogError(f"unknown space {config['space']!r}; one of {SPACES}")
+    for name, known in (("graph", GRAPH), ("index", CELLS)):
+        for k, v in (config.get(name) or {}).items():
+            if k not in known:
+                raise CatalogError(f"unknown option {k!r} of {name!r}; known: {', '.join(known)}")
+            if v is None and k == "rerank":
+                continue
+            kinds = (int, float) if k in ("epsilon", "resize_factor") else int
+            if isinstance(v, bool) or not isinstance(v, kinds) or v < known[k]:
+                raise CatalogError(f"{k} must be a number of at least {known[k]}, not {v!r}")
+
+
 class Catalog:
     """All collections under a root folder."""
 
@@ -103,6 +125,7 @@ class Catalog:
         check_name(name)
         self._need_database(database, tenant)
         M.validate(metadata or {})
+        check_config(config or {})
         v = Version(uuid.uuid4().hex, name, tenant, database, metadata=dict(metadata or {}), config=dict(config or {}))
         self._write_version(v)
         if not self.store.write({"id": v.id}, *self._pointer(name, tenant, database)):

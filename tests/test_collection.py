@@ -319,3 +319,11 @@ def test_a_function_over_several_inputs(catalog):
     assert {(r["input"], r["total_count"]) for r in a.function_outputs("n").collect()} == {("first", 2), ("second", 3)}
     with pytest.raises(CatalogError):
         a.add_input("none", b)
+
+
+def test_configurations_are_checked(catalog):
+    catalog.create_collection("fine", config={"space": "ip", "graph": {"ef_search": 100, "resize_factor": 1.2}, "index": {"probes": 64, "rerank": None, "epsilon": 0.5}})
+    for bad in ({"space": "l3"}, {"graph": {"ef": 10}}, {"graph": {"max_neighbors": 0}}, {"index": {"probes": 1.5}}, {"index": {"cell_rows": True}}):
+        with pytest.raises(CatalogError):
+            catalog.create_collection("bad", config=bad)
+    assert catalog.count_collections() == 1
