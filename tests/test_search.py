@@ -207,5 +207,5 @@ def test_embedding_and_chunks(spark):
     assert parts[0] == "# Title" and all(len(p.encode()) <= 40 for p in parts) and "".join("".join(parts).split()) == "".join(text.split())
     assert [tuple(r) for r in T.chunks(spark.createDataFrame([(1, None), (2, "")], "k int, t string"), "k", "t").collect()] == [(2, 0, " ")]
     assert T.chunk_markdown("\n \n# Title\n\n    code\n    more\n\nnext\x0cpage\n") == ["# Title", "    code\n    more\n\nnext\x0cpage"]
-    assert T.chunk_markdown("t\n~~~\na\n\n```\n\nb\n~~~\n\nc", 25) == ["t", "~~~\na\n\n```\n\nb\n~~~", "c"] and T.chunk_markdown("\n\n") == [" "]
+    assert T.chunk_markdown("t\n~~~\na\n\n```\n\nb\n~~~\n\nc", 19) == ["t", "~~~\na\n\n```\n\nb\n~~~", "c"] and T.chunk_markdown("\n\n") == [" "]
     assert json.loads(json.dumps(e.config())) == {"dim": 16, "seed": 0}
